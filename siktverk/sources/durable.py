@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +21,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="siktverk-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
-    return named
+    return context._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the checkpoint folder, without its lineage."""
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder, without its lineage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
+
+
+class Steps:
+    """The state of an iteration as a table in the checkpoint folder; each step replaces the one before."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{checkpoint_dir(spark)}/steps-{uuid.uuid4().hex}", 0
+
+    def next(self, df: DataFrame) -> DataFrame:
+        """Writes ``df``, which may read the step before, and drops that step."""
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        if self.count:
+            self._delete(f"{self.folder}/{self.count - 1}")
+        self.count += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
