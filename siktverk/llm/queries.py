@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siktverk.llm import bpe, leakage, lookalike
+from siktverk.llm import bpe, consensus, fusion, leakage, lookalike, sampling, skill, textstats
 from siktverk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,118 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+SCORES = {"length": "feature_means.length", "content_quality": "feature_means.content_quality", "language_confidence": "least(feature_means.language_confidence, 1.0D)"}
+
+
+def _above(spark: SparkSession, directory: str, ranking: str, ranked: DataFrame, better: str) -> DataFrame:
+    """Probes of a ranking whose first document has the better value; ``ranked`` has ``doc_id`` and ``value``."""
+    probes = table(spark, directory, "rank_probes", "probe_id", "ranking", "doc_1_id", "doc_2_id").filter(F.col("ranking") == ranking)
+    one = ranked.select(F.col("doc_id").alias("doc_1_id"), F.col("value").alias("v1"))
+    two = ranked.select(F.col("doc_id").alias("doc_2_id"), F.col("value").alias("v2"))
+    return probes.join(one, "doc_1_id").join(two, "doc_2_id").filter(better).select("probe_id")
+
+
+def _fused(spark: SparkSession, directory: str) -> tuple[DataFrame, fusion.Component]:
+    rows = table(spark, directory, "l1_pairwise", "doc_id", "feature_means")
+    return fusion.fuse(rows, "doc_id", SCORES, dict.fromkeys(SCORES, 1))
+
+
+@query
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    ranked = _fused(spark, directory)[0].select("doc_id", F.col("position").alias("value"))
+    return _above(spark, directory, "l1_pairwise", ranked, "v1 < v2")
+
+
+@query
+def p1_ranking(spark: SparkSession, directory: str) -> DataFrame:
+    return _fused(spark, directory)[0]
+
+
+@query
+def p1_loadings(spark: SparkSession, directory: str) -> DataFrame:
+    """The rank correlations, and the first component as found and as used."""
+    c = _fused(spark, directory)[1]
+    names = list(SCORES)
+    rows = [(k, float(c.found[i]), float(c.used[i]), *[float(x) for x in c.correlations[i]]) for i, k in enumerate(names)]
+    return spark.createDataFrame(rows, "score string, found double, used double, " + ", ".join(f"corr_{k} double" for k in names))
+
+
+def _sample(spark: SparkSession, directory: str) -> sampling.Sample:
+    labels = ["content_quality", "educational_value"]
+    return sampling.Sample(table(spark, directory, "eyeball", "id", *labels), table(spark, directory, "sample_targets"), labels)
+
+
+@query
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _sample(spark, directory).report().filter("not met").select("content_quality", "educational_value")
+
+
+@query
+def p3_report(spark: SparkSession, directory: str) -> DataFrame:
+    return _sample(spark, directory).report().drop("quota")
+
+
+@query
+def p3_sample(spark: SparkSession, directory: str) -> DataFrame:
+    return _sample(spark, directory).draw()
+
+
+@query
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return textstats.not_prose(table(spark, directory, "eyeball", "id", "text"))
+
+
+@query
+def p4_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    return textstats.quality(textstats.statistics(table(spark, directory, "eyeball", "id", "text")))
+
+
+def _outcomes(spark: SparkSession, directory: str) -> DataFrame:
+    answers = table(spark, directory, "responses", "response_id", "pair_id", "pair_kind", "side_assignment", "substance_choice", "skipped")
+    return skill.outcomes(answers, table(spark, directory, "pairs", "pair_id", "pair_kind", "doc_a_id", "doc_b_id"))
+
+
+@query
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    ranked = skill.skills(_outcomes(spark, directory)).select("doc_id", F.col("mean").alias("value"))
+    return _above(spark, directory, "responses", ranked, "v1 > v2")
+
+
+@query
+def p6_ranking(spark: SparkSession, directory: str) -> DataFrame:
+    return skill.ranking(_outcomes(spark, directory))
+
+
+@query
+def p6_outcomes(spark: SparkSession, directory: str) -> DataFrame:
+    return _outcomes(spark, directory)
+
+
+def _answers(spark: SparkSession, directory: str) -> DataFrame:
+    return consensus.answers(table(spark, directory, "responses", "response_id", "rater_name", "pair_id", "is_duplicate", "side_assignment", "readability_choice", "skipped"))
+
+
+@query
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return consensus.unreliable(consensus.Model(_answers(spark, directory)))
+
+
+@query
+def p7_consensus(spark: SparkSession, directory: str) -> DataFrame:
+    return consensus.Model(_answers(spark, directory)).consensus()
+
+
+@query
+def p7_reliability(spark: SparkSession, directory: str) -> DataFrame:
+    return consensus.Model(_answers(spark, directory)).reliability()
+
+
+@query
+def p7_agreement(spark: SparkSession, directory: str) -> DataFrame:
+    read = consensus.agreement(_answers(spark, directory))
+    return read.select("pairs", "answers", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "alpha")])
+
+
 @query
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, directory, "documents", "doc_id", "text"))
@@ -46,3 +159,40 @@ def p10_canonical(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def p10_classes(spark: SparkSession, directory: str) -> DataFrame:
     return lookalike.look_classes(table(spark, directory, "documents", "doc_id", "text"))
+
+
+# SQL for the queries that SQL can express.
+_BARE = "regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '^<?urn:uuid:(.*?)>?$', '\\1')"
+_LABEL = "lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'))"
+
+_REPORT = f"""
+with docs as (select distinct {_BARE.format("id")} as id, {_LABEL.format("content_quality")} as content_quality, {_LABEL.format("educational_value")} as educational_value from eyeball),
+size as (select count(distinct id) // 5 as s from docs),
+got as (select content_quality, educational_value, count(*) as n from docs group by all)
+select t.content_quality, t.educational_value, cast(t.target_pct as bigint) as target_pct, t.min_rows, coalesce(got.n, 0) as available,
+  greatest(cast(t.min_rows as bigint), (t.target_pct * s + 99) // 100) as required,
+  coalesce(got.n, 0) >= greatest(t.min_rows, (t.target_pct * s + 99) // 100) as met
+from sample_targets t cross join size left join got using (content_quality, educational_value)
+"""
+SQL["p3_report"] = _REPORT
+SQL["p3_found"] = f"select content_quality, educational_value from ({_REPORT}) where not met"
+
+SQL["p6_outcomes"] = f"""
+with said as (
+  select response_id, pair_id, max(case when (lower(trim(substance_choice)) like 'a\\_%' escape '\\') = (trim(side_assignment) = 'a_left') then 1 else 0 end) as won
+  from responses where skipped = 0 and trim(pair_kind) = 'real' and lower(trim(substance_choice)) in ('a_much', 'a_slight', 'b_slight', 'b_much') group by all),
+votes as (select pair_id, sum(won) as a, sum(1 - won) as b from said group by all),
+known as (select pair_id, min({_BARE.format("doc_a_id")}) as x, min({_BARE.format("doc_b_id")}) as y from pairs where pair_kind = 'real' group by all)
+select least(x, y) as i, greatest(x, y) as j, cast(sum(case when x < y then a else b end) as bigint) as n_ij, cast(sum(case when x < y then b else a end) as bigint) as n_ji
+from votes join known using (pair_id) where x <> y group by 1, 2
+"""
+
+SQL["p7_agreement"] = """
+with once as (
+  select pair_id, response_id, max(case when (lower(trim(readability_choice)) like 'a\\_%' escape '\\') = (trim(side_assignment) = 'a_left') then 1 else 0 end) as a
+  from responses where skipped = 0 and lower(trim(readability_choice)) in ('a_much', 'a_slight', 'b_slight', 'b_much') group by all),
+per as (select pair_id, cast(sum(a) as double) as a, cast(sum(1 - a) as double) as b from once group by all having count(*) >= 2),
+s as (select count(*) as pairs, sum(a + b) as n, sum((a * (a - 1) + b * (b - 1)) / (a + b - 1)) as o, sum(a) as a, sum(b) as b from per),
+r as (select pairs, cast(n as bigint) as answers, o / n as observed, (a * (a - 1) + b * (b - 1)) / (n * (n - 1)) as expected from s)
+select pairs, answers, round(observed, 6) as observed, round(expected, 6) as expected, round((observed - expected) / (1 - expected), 6) as alpha from r
+"""
