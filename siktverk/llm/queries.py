@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siktverk.llm import bpe, consensus, fusion, leakage, lookalike, sampling, skill, textstats
+from siktverk.llm import bpe, consensus, fusion, leakage, lookalike, sampling, scans, skill, textstats
 from siktverk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,21 @@ def p1_loadings(spark: SparkSession, directory: str) -> DataFrame:
     return spark.createDataFrame(rows, "score string, found double, used double, " + ", ".join(f"corr_{k} double" for k in names))
 
 
+@query
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return scans.Repair(table(spark, directory, "eyeball", "id", "text")).defects()
+
+
+@query
+def p2_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return scans.Repair(table(spark, directory, "eyeball", "id", "text")).texts()
+
+
+@query
+def p2_corrections(spark: SparkSession, directory: str) -> DataFrame:
+    return scans.Repair(table(spark, directory, "eyeball", "id", "text")).corrections
+
+
 def _sample(spark: SparkSession, directory: str) -> sampling.Sample:
     labels = ["content_quality", "educational_value"]
     return sampling.Sample(table(spark, directory, "eyeball", "id", *labels), table(spark, directory, "sample_targets"), labels)

@@ -25,13 +25,15 @@ FUNCTION_WORDS = {
 }
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _WORD, _TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
-_ENDS = re.compile("[.!?:;…][\"'”’»)\\]]*$")
+_ENDS = re.compile("[.!?…][\"'”’»)\\]]*$")
 
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_word_ratio", "words_per_line")
 #: A language with fewer documents than this is measured against all documents.
 LEAST_DOCUMENTS = 50
-#: Robust z-scores of the common-word ratio that make a document no prose by themselves, or together with another tail.
-STRONG_TAIL, TAIL = -5.0, -3.5
+#: Robust z-scores of the common-word ratio that make a document no prose: alone, with another tail, with a tail of digits or symbols.
+ALONE, WITH_TAIL, WITH_MARKS = -5.0, -3.0, -2.0
+#: A robust z-score beyond this is a tail.
+TAIL = 3.5
 
 
 def measure(text: str) -> tuple[str, int, int, float, float, float, float, float, float]:
@@ -79,8 +81,8 @@ def sketches(stats: DataFrame) -> DataFrame:
 def quality(stats: DataFrame) -> DataFrame:
     """``stats`` with a robust z-score ``<statistic>_z`` each, and ``prose``: false for lists, tables and junk, null without text.
 
-    Scores are (value - median) / (interquartile range / 1.349) of the document's language. The sketches' quartiles (a row
-    a language) are collected.
+    Scores are (value - median) / (interquartile range / 1.349) of the document's language; the common-word ratio of a short
+    text varies more, which its score allows for. The sketches' quartiles (a row a language) are collected.
     """
     quartile = lambda k, q: F.expr(f"kll_sketch_get_quantile_double({k}, {q})")
     read = sketches(stats).filter("n > 0").select("language", "n", *[quartile(k, q).alias(f"{k}_{i}") for k in STATISTICS for i, q in enumerate((0.25, 0.5, 0.75))])
@@ -94,7 +96,10 @@ def quality(stats: DataFrame) -> DataFrame:
 
             def score(r: object, k: str = k) -> Column:
                 lo, mid, hi = (float(r[f"{k}_{i}"]) for i in range(3))
-                return (F.col(k) - mid) / max((hi - lo) / 1.349, 1e-3 * max(1.0, abs(mid)))
+                spread = max((hi - lo) / 1.349, 1e-3 * max(1.0, abs(mid)))
+                if k != "common_word_ratio":
+                    return (F.col(k) - mid) / spread
+                return (F.col(k) - mid) / F.sqrt(spread**2 + mid * (1 - mid) / F.greatest("word_count", F.lit(1)))
 
             z = score(rows["*"])
             for language in own:
@@ -102,8 +107,10 @@ def quality(stats: DataFrame) -> DataFrame:
             columns[f"{k}_z"] = z
     out = stats.withColumns(columns)
     z = {k: F.col(f"{k}_z") for k in STATISTICS}
-    another = (F.abs(z["mean_word_length"]) > -TAIL) | (z["symbol_ratio"] > -TAIL) | (z["digit_ratio"] > -TAIL) | (F.col("line_end_ratio") == 0)
-    junk = (z["common_word_ratio"] < STRONG_TAIL) | (z["common_word_ratio"] < TAIL) & another
+    marks = (z["symbol_ratio"] > TAIL) | (z["digit_ratio"] > TAIL)
+    another = marks | (F.abs(z["mean_word_length"]) > TAIL) | (F.col("line_end_ratio") == 0)
+    common = z["common_word_ratio"]
+    junk = (common < ALONE) | (common < WITH_TAIL) & another | (common < WITH_MARKS) & marks | (F.col("common_word_ratio") == 0) & (another | (common < WITH_TAIL))
     return out.withColumn("prose", F.when(F.col("word_count") + F.col("char_count") > 0, ~junk))
 
 
