@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siktverk.llm import bpe, consensus, fusion, leakage, lookalike, sampling, scans, skill, textstats
+from siktverk.llm import bpe, consensus, fusion, leakage, lookalike, overlap, sampling, scans, skill, textstats
 from siktverk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,21 @@ def p4_statistics(spark: SparkSession, directory: str) -> DataFrame:
     return textstats.quality(textstats.statistics(table(spark, directory, "eyeball", "id", "text")))
 
 
+def _overlap(spark: SparkSession, directory: str) -> overlap.Overlap:
+    return overlap.Overlap(table(spark, directory, "matches", "match_no", "id", "split", "source", "excerpt"))
+
+
+@query
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _overlap(spark, directory).pairs()
+
+
+@query
+def p5_report(spark: SparkSession, directory: str) -> DataFrame:
+    found = _overlap(spark, directory)
+    return found.report(found.pairs())
+
+
 def _outcomes(spark: SparkSession, directory: str) -> DataFrame:
     answers = table(spark, directory, "responses", "response_id", "pair_id", "pair_kind", "side_assignment", "substance_choice", "skipped")
     return skill.outcomes(answers, table(spark, directory, "pairs", "pair_id", "pair_kind", "doc_a_id", "doc_b_id"))
