@@ -2,19 +2,575 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siktverk.functions.domains import FAMILIES, topic_family
+from siktverk.functions.ids import bare_id, canonical_id, hash_fraction, hash_key, hash_split, lookup_forms, wrapped_id
+from siktverk.functions.judge import combined_score, parsed_score
+from siktverk.operators import features as feat
+from siktverk.operators import joins, judging, metrics, preference, ranking, sampling, training
+from siktverk.plans import views as v
+from siktverk.sources import readers, sinks
+from siktverk.sources.durable import checkpoint_dir, durable
+from siktverk.sources.tables import table
+from siktverk.streaming import responses as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+DIGITS = 6
+#: A priority other than the even one.
+CREDITS = {"content_quality": 30.0, "information_density": 10.0, "educational_value": 30.0, "safety": 5.0, "pii_absence": 5.0, "length": 10.0, "language_confidence": 10.0}
 
 
-def query(name: str, sql: str | None = None) -> Callable:
+def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            SQL[name] = sql
+            SQL[f.__name__] = sql
         return f
 
     return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, as in the SQL."""
+    return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.prepare(v.joined(spark, d), v.LID)
+
+
+# Ids, features, filter, statistics, ranking.
+
+
+@query(f"select match_no, regexp_replace(id, '^<urn:uuid:(.*)>$', '\\1') as canonical, {v.bare('id')} as bare, '<urn:uuid:' || regexp_replace(id, '^<urn:uuid:(.*)>$', '\\1') || '>' as wrapped from matches")
+def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "matches", "match_no", "id").select("match_no", canonical_id("id").alias("canonical"), bare_id("id").alias("bare"), wrapped_id("id").alias("wrapped"))
+
+
+@query(f"with {v.SQL_ANN}, {v.SQL_META}, {v.SQL_FEAT} select doc_id, {', '.join(feat.FEATURES)}, minhash_cluster_size, duplicate_count from feat")
+def ordinal_features(spark: SparkSession, d: str) -> DataFrame:
+    return feat.to_features(v.joined(spark, d)).select("doc_id", *feat.FEATURES, "minhash_cluster_size", "duplicate_count")
+
+
+_TEST = f"full_doc_lid = '{v.LID}' and content_quality >= 2 and length >= 1 and pii_absence = 1"
+
+
+@query(f"with {v.SQL_ANN}, {v.SQL_META}, {v.SQL_FEAT}, {v.sql_filter(_TEST)} select doc_id, passed_hard_filter from flt")
+def hard_filter(spark: SparkSession, d: str) -> DataFrame:
+    return feat.hard_filter(feat.to_features(v.joined(spark, d)), v.LID, {"content_quality": 2, "length": 1}, True).select("doc_id", "passed_hard_filter")
+
+
+@query(f"{v.SQL_BASE} select feature, round(p1, 6) as p1, round(p99, 6) as p99, round(mean, 6) as mean, round(std, 6) as std from stats")
+def norm_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = feat.hard_filter(feat.to_features(v.joined(spark, d)), v.LID).filter("passed_hard_filter")
+    stats = feat.nearest_rank_stats(rows, list(feat.FEATURES))
+    return rounded(spark.createDataFrame([(k, *map(float, (s["p1"], s["p99"], s["mean"], s["std"]))) for k, s in stats.items()], "feature string, p1 double, p99 double, mean double, std double"))
+
+
+@query(f"{v.SQL_BASE} select doc_id, {', '.join(f'round({f}_z, 6) as {f}_z' for f in feat.FEATURES)} from norm")
+def normalized_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_prepared(spark, d).select("doc_id", *[f"{f}_z" for f in feat.FEATURES]))
+
+
+@query(f"{v.SQL_BASE} select doc_id, round(inverted_cluster_size, 6) as inverted_cluster_size, round(inverted_duplicate_count, 6) as inverted_duplicate_count from ded")
+def dedup_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_prepared(spark, d).select("doc_id", "inverted_cluster_size", "inverted_duplicate_count"))
+
+
+_UNIT = {f: 1 / len(feat.FEATURES) for f in feat.FEATURES}
+_OWN = {f: c / 100 for f, c in CREDITS.items()}
+
+
+@query(f"{v.SQL_BASE}, {v.sql_rank(_UNIT)} select doc_id, round(z_l1, 6) as z_l1, rank_l1 from r1")
+def l1_rank(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.rank_l1(_prepared(spark, d), unit=_UNIT).select("doc_id", "z_l1", "rank_l1"))
+
+
+@query(f"{v.SQL_BASE}, {v.sql_rank(_OWN)} select doc_id, round(z_l1, 6) as z_l1, rank_l1 from r1 where passed_hard_filter")
+def l1_rank_priorities(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.rank_l1(_prepared(spark, d), unit=_OWN).filter("passed_hard_filter").select("doc_id", "z_l1", "rank_l1"))
+
+
+_OUT = "select doc_id, passed_hard_filter, rank_l1, round(z_l1, 6) as z_l1, rank_l2, round(score_l2, 6) as score_l2, {top} as in_top_k, round(minhash_cluster_size, 6) as minhash_cluster_size, round(duplicate_count, 6) as duplicate_count from {t}"
+
+
+@query(f"{v.SQL_BASE}, {v.sql_rank(_UNIT)}, {v.SQL_L2} " + _OUT.format(t="r2", top=f"coalesce(rank_l2 <= {v.K}, false)"))
+def rerank_prototype(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.finalize(ranking.rank_l2(ranking.rank_l1(_prepared(spark, d), unit=_UNIT), v.K, v.M)))
+
+
+@query(f"{v.SQL_BASE}, {v.sql_rank(_UNIT)} " + _OUT.format(t="(select *, null::bigint as rank_l2, null::double as score_l2 from r1)", top=f"coalesce(rank_l1 <= {v.K}, false)"))
+def rerank_l2_disabled(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.finalize(ranking.rank_l2(ranking.rank_l1(_prepared(spark, d), unit=_UNIT), v.K, v.M, "disabled")))
+
+
+@query(f"{v.SQL_BASE}, {v.sql_rank(_UNIT)}, {v.SQL_L2} select count(*) as rows, count_if(passed_hard_filter) as passed, count_if(coalesce(rank_l2 <= {v.K}, false)) as top_k from r2")
+def row_totals(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.report(ranking.rank_l2(ranking.rank_l1(_prepared(spark, d), unit=_UNIT), v.K, v.M))
+
+
+# Joins, labels, set operations, sources.
+
+
+
+@query("""
+with a as (select id, count(*) as na from eyeball group by id), b as (select id, count(*) as nb from matches group by id), j as (select coalesce(na, 0) as na, coalesce(nb, 0) as nb from a full join b using (id))
+select cast(sum(na) as bigint) as annotation_rows, cast(sum(nb) as bigint) as metadata_rows, cast(sum(na * nb) as bigint) as matched_rows, count_if(na > 0 and nb = 0) as unmatched_annotations, count_if(nb > 0 and na = 0) as unmatched_metadata from j""")
+def join_report(spark: SparkSession, d: str) -> DataFrame:
+    return joins.join_report(table(spark, d, "eyeball", "id"), table(spark, d, "matches", "id"))
+
+
+@query(f"with {v.SQL_ANN}, {v.SQL_META}, {v.SQL_FEAT}, {v.SQL_LABELS} select doc_id, round(gold_score, 6) as gold_score from feat join lab using (doc_id)")
+def label_attach(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(joins.attach_labels(feat.to_features(v.joined(spark, d)), v.labels(spark, d)).select("doc_id", "gold_score"))
+
+
+@query(f"with {v.SQL_LABELS} select count(*) as count, round(min(gold_score), 6) as min, round(max(gold_score), 6) as max, round(avg(gold_score), 6) as mean, round(stddev_pop(gold_score), 6) as std, round(quantile_cont(gold_score, 0.25), 6) as q25, round(quantile_cont(gold_score, 0.5), 6) as q50, round(quantile_cont(gold_score, 0.75), 6) as q75 from lab")
+def label_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.describe(v.labels(spark, d), "gold_score"))
+
+
+@query(f"with {v.SQL_LABELS}, h as (select cast(least(floor(gold_score * 8), 7) as bigint) as bin, count(*) as n from lab group by 1) select r.range as bin, coalesce(n, 0) as n from range(8) r left join h on r.range = h.bin")
+def relevance_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.bin_histogram(v.labels(spark, d), "gold_score")
+
+
+_U = "('0x' || substr(sha256({0}), 1, 8))::bigint % 10000 / 10000.0::double"
+
+
+@query(f"with d as (select distinct {v.bare('id')} as id from documents) select id, {_U.format('id')} as fraction, case when {_U.format('id')} < 0.8::double then 'train' when {_U.format('id')} < 0.9::double then 'val' else 'test' end as split from d")
+def hash_splits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "id").select(bare_id("id").alias("id")).distinct().select("id", hash_fraction("id").alias("fraction"), hash_split("id").alias("split"))
+
+
+@query(f"select {v.bare('id')} as id, count(*) as n, min(indexed_at) as first_indexed, min_by(match_no, (indexed_at, match_no)) as match_no from matches group by 1")
+def dedupe_by_id(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "matches", "match_no", "id", "indexed_at").withColumn("id", bare_id("id"))
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.min("indexed_at").alias("first_indexed"), F.min_by("match_no", F.struct("indexed_at", "match_no")).alias("match_no"))
+
+
+@query(f"select match_no, id from matches where {v.bare('id')} in (select {v.bare('id')} from eyeball)")
+def id_matched_scan(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "eyeball", "id").select(bare_id("id").alias("id")).distinct()
+    return table(spark, d, "matches", "match_no", "id").withColumn("_b", bare_id("id")).join(targets.withColumnRenamed("id", "_b"), "_b", "left_semi").drop("_b")
+
+
+@query("with c as (select regexp_replace(doc_id, '^<urn:uuid:(.*)>$', '\\1') as c, doc_id from document_scores), f as (select doc_id as f from c union select c from c union select '<urn:uuid:' || c || '>' from c) select match_no, id from matches where id in (select f from f)")
+def lookup_spellings(spark: SparkSession, d: str) -> DataFrame:
+    return readers.lookup(table(spark, d, "matches", "match_no", "id"), table(spark, d, "document_scores", "doc_id"))
+
+
+@query(f"select id, text from (select {v.bare('id')} as id, left(text, 50000) as text, row_number() over (partition by {v.bare('id')} order by id, left(text, 50000)) as rn from eyeball where {v.bare('id')} in (select {v.bare('doc_id')} from document_scores)) where rn = 1")
+def first_texts(spark: SparkSession, d: str) -> DataFrame:
+    return readers.first_texts(table(spark, d, "eyeball", "id", "text"), table(spark, d, "document_scores", "doc_id"))
+
+
+@query(f"with {v.SQL_ANN} select id from ann where id not in (select {v.bare('doc_id')} from l1_pairwise where gold_score is not null) and id not in (select {v.bare('doc_a_id')} from pairs) and id not in (select {v.bare('doc_b_id')} from pairs)")
+def exclude_ids(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "pairs", "doc_a_id", "doc_b_id")
+    return joins.without(v.annotations(spark, d).select("id"), v.labels(spark, d).select("doc_id"), pairs.select(bare_id("doc_a_id").alias("id")), pairs.select(bare_id("doc_b_id").alias("id")))
+
+
+
+@query(f"with {v.SQL_LABELS} select doc_id, round(gold_score, 6) as gold_score from lab union all select {v.bare('doc_id')}, round(score, 6) from document_scores")
+def union_aligned(spark: SparkSession, d: str) -> DataFrame:
+    scores = table(spark, d, "document_scores", "doc_id", "score").select(bare_id("doc_id").alias("doc_id"), F.col("score").cast("string").alias("gold_score"), F.lit(1).alias("extra"))
+    return rounded(joins.aligned_union(v.labels(spark, d), scores))
+
+
+@query("select coalesce(a.id, b.id) as id, case when a.id is null then 'matches' when b.id is null then 'eyeball' else 'both' end as side from (select distinct " + v.bare("id") + " as id from eyeball) a full join (select distinct " + v.bare("id") + " as id from matches) b using (id)")
+def id_sets(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (table(spark, d, t, "id").select(bare_id("id").alias("id")).distinct() for t in ("eyeball", "matches"))
+    side = lambda x, s: x.withColumn("side", F.lit(s))
+    return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "eyeball")).unionByName(side(b.subtract(a), "matches"))
+
+
+@query(f"with {v.SQL_ANN}, {v.SQL_META} select ann.id as id, cast(null as double) as quality_score, {', '.join(v.LABELS)}, {', '.join(v.METADATA)} from ann left join meta using (id)")
+def combined_24col(spark: SparkSession, d: str) -> DataFrame:
+    out = v.annotations(spark, d).join(v.metadata(spark, d), "id", "left").withColumn("quality_score", F.lit(None).cast("double"))
+    return out.select(*v.COMBINED)
+
+
+@query("with t as (select distinct lower(trim(rater_name)) as rater_name, pair_id, queue_position, skipped from responses), o as (select * from t where not exists (select 1 from t x where x.rater_name = t.rater_name and x.pair_id = t.pair_id and x.skipped = 0)) select rater_name, min(queue_position) as queue_position, arg_min(pair_id, (queue_position, pair_id)) as pair_id from o group by 1")
+def next_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The first pair in each rater's queue that has no answer (what was only skipped is open)."""
+    rows = table(spark, d, "responses", "rater_name", "pair_id", "queue_position", "skipped").withColumn("rater_name", F.lower(F.trim("rater_name")))
+    open_ = rows.select("rater_name", "pair_id", "queue_position").distinct().join(rows.filter("skipped = 0").select("rater_name", "pair_id").distinct(), ["rater_name", "pair_id"], "left_anti")
+    return open_.groupBy("rater_name").agg(F.min("queue_position").alias("queue_position"), F.min_by("pair_id", F.struct("queue_position", "pair_id")).alias("pair_id"))
+
+
+@query("select rater_name, pair_id, count(*) as n from (select distinct lower(trim(rater_name)) as rater_name, pair_id from responses) group by all")
+def upsert_responses(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "responses", "rater_name", "pair_id", "is_duplicate").withColumn("rater_name", F.lower(F.trim("rater_name")))
+    keys = ["rater_name", "pair_id"]
+    old = rows.filter("is_duplicate = 0").select(*keys).dropDuplicates(keys)
+    return sinks.upsert(old, rows.filter("is_duplicate = 1").select(*keys), keys).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+# Evaluation.
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return durable(joins.attach_labels(_prepared(spark, d), v.labels(spark, d)).select("doc_id", "passed_hard_filter", "content_type", "gold_score", *feat.FEATURES, *[f"{f}_z" for f in feat.FEATURES], *[f"ux_{f}" for f in feat.FEATURES], "inverted_cluster_size", "inverted_duplicate_count", "minhash_cluster_size", "duplicate_count"))
+
+
+_LAB = f"{v.SQL_BASE}, {v.SQL_LABELS}, le as (select ded.*, gold_score, substr(sha256(doc_id), 1, 16) as h, sha256('42:' || doc_id) as hs from ded join lab using (doc_id))"
+_METHODS = (
+    "bs as (select 'random' as method, doc_id, ('0x' || substr(hs, 1, 8))::bigint / 4294967296.0::double as score, gold_score as gold from le"
+    " union all select 'feature_mean', doc_id, round((" + "+".join(["0.0::double", *[f"coalesce({f}_z, 0)" for f in feat.FEATURES]]) + f") / {len(feat.FEATURES)}, 9), gold_score from le"
+    " union all select 'edu_first', doc_id, cast(count(*) over () + 1 - row_number() over (order by educational_value desc nulls last, content_quality desc nulls last, safety desc nulls last, h desc) as double), gold_score from le"
+    " union all select 'quality_first', doc_id, cast(count(*) over () + 1 - row_number() over (order by content_quality desc nulls last, educational_value desc nulls last, safety desc nulls last, h desc) as double), gold_score from le)"
+)
+
+
+@query(f"{_LAB}, {_METHODS} select method, doc_id, round(score, 6) as score, round(gold, 6) as gold from bs")
+def baseline_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(training.baselines(_labelled(spark, d)))
+
+
+def _sql_bundle() -> str:
+    ranks = "rk as (select *, cast(least(floor(gold * 8), 7) as bigint) as rel, row_number() over (partition by method order by score desc, doc_id) as rp, row_number() over (partition by method order by gold desc, doc_id) as rg, count(*) over (partition by method) as n from bs), rk2 as (select *, row_number() over (partition by method order by rel desc, doc_id) as ri from rk)"
+    cols = ["method", "max(n) as n", "round(corr(rp, rg), 6) as spearman"]
+    for p in (1, 5, 10, 20, 30):
+        cut = f"greatest(1, ceil(n * {p} / 100.0::double))"
+        cols.append(f"round(count_if(rp <= {cut} and rg <= {cut}) / max({cut}), 6) as recall_{p}")
+    for k in (10, 25, 50, 100):
+        dcg = lambda r: f"sum(case when {r} <= {k} then (pow(2, rel) - 1) / log2({r} + 1) end)"  # noqa: B023, E731
+        cols.append(f"case when max(n) >= {k} then round(case when {dcg('ri')} > 0 then {dcg('rp')} / {dcg('ri')} else 0 end, 6) end as ndcg_{k}")
+    return f"{ranks} select {', '.join(cols)} from rk2 group by method"
+
+
+@query(f"{_LAB}, {_METHODS}, {_sql_bundle()}")
+def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.bundle(training.baselines(_labelled(spark, d))))
+
+
+def _axes(spark: SparkSession, d: str) -> DataFrame:
+    """Judged (gold) and mean-feature scores of a document, for comparison of two raters of one scale."""
+    means = F.col("feature_means")
+    rows = table(spark, d, "l1_pairwise", "doc_id", "feature_means", "gold_score").select(bare_id("doc_id").alias("doc_id"), F.col("gold_score").alias("x"), (means["content_quality"] / 4).alias("y"))
+    return rows.groupBy("doc_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+
+
+_AXES = f"with ax as (select {v.bare('doc_id')} as doc_id, max(gold_score) as x, max(feature_means.content_quality / 4) as y from l1_pairwise group by 1), b as (select * from ax where x is not null and y is not null)"
+
+
+@query(f"{_AXES} select count(*) as n, round(corr(x, y), 6) as pearson, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept from b")
+def corr_suite(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.correlations(_axes(spark, d), "x", "y"))
+
+
+@query(f"{_AXES}, r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from b) select round(corr(rx, ry), 6) as spearman from r")
+def spearman_average(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.spearman_average(_axes(spark, d), "x", "y"))
+
+
+@query(f"""{_AXES}, g as (select round(x, 1) as x, round(y, 1) as y from b), c as (select x, y, count(*)::double as n from g group by all),
+p as (select sum(case when a.y < b.y then a.n * b.n else 0 end) as con, sum(case when a.y > b.y then a.n * b.n else 0 end) as dis from c a join c b on a.x < b.x),
+tx as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by x)), ty as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by y)), tot as (select sum(n) * (sum(n) - 1) / 2 as p from c)
+select con as concordant, dis as discordant, tx.t as ties_x, ty.t as ties_y, round((con - dis) / sqrt((tot.p - tx.t) * (tot.p - ty.t)), 6) as tau_b from p, tx, ty, tot""")
+def kendall_b(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.kendall_b(_axes(spark, d).select(F.round("x", 1).alias("x"), F.round("y", 1).alias("y")), "x", "y"))
+
+
+@query(f"""{_AXES}, g as (select case when y >= 0.6 then 'high' when y <= 0.4 then 'low' end as g, x from b), h as (select * from g where g is not null)
+select (select count(*) from h where g = 'high') as n1, (select count(*) from h where g = 'low') as n2, sum(case when a.x > c.x then 1.0 when a.x = c.x then 0.5 else 0 end)::double as u, round(avg(case when a.x > c.x then 1.0 when a.x = c.x then 0.5 else 0 end), 6) as auc
+from (select x from h where g = 'high') a, (select x from h where g = 'low') c""")
+def auc_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
+    rows = _axes(spark, d).withColumn("g", F.when(F.col("y") >= 0.6, "high").when(F.col("y") <= 0.4, "low"))
+    return rounded(metrics.mann_whitney(rows, "g", "high", "low", "x").drop("p_greater"))
+
+
+@query(f"{_AXES}, s as (select avg(x - y) as bias, stddev_samp(x - y) as sd from ax) select round(bias, 6) as bias, round(sd, 6) as sd, round(bias - 1.96 * sd, 6) as low, round(bias + 1.96 * sd, 6) as high from s")
+def bland_altman(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.bland_altman(_axes(spark, d), "x", "y"))
+
+
+@query(f"{_AXES}, h as (select cast(least(floor(x * 25), 24) as bigint) as bin, count(*) as n from ax where x between 0 and 1 group by 1) select bin, n, round(n * 25.0 / sum(n) over (), 6) as density from h")
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.unit_histogram(_axes(spark, d), "x"))
+
+
+@query(f"""{_AXES}, k as (select count(*) as n, greatest(1, floor(0.1::double * count(*)))::bigint as k from b),
+r as (select doc_id, row_number() over (order by x desc, doc_id) as tx, row_number() over (order by y desc, doc_id) as ty, row_number() over (order by x, doc_id) as bx, row_number() over (order by y, doc_id) as by_ from b),
+s as (select n, k, count_if(tx <= k and ty <= k) as t, count_if(bx <= k and by_ <= k) as l from r, k group by all)
+select n, k, t as top_overlap, round(t / (2 * k - t)::double, 6) as top_jaccard, l as bottom_overlap, round(l / (2 * k - l)::double, 6) as bottom_jaccard from s""")
+def topk_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.topk_overlap(_axes(spark, d), "x", "y"))
+
+
+# Samples, groups, pools.
+
+_STRATA = f"strata as (select id, {v.sampler('educational_value')} as edu_ord, {v.sampler('content_quality')} as quality_ord from ann)"
+_BOTH = ["edu_ord", "quality_ord"]
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.with_strata(v.annotations(spark, d))
+
+
+@query(f"with {v.SQL_ANN}, {_STRATA} select edu_ord, quality_ord, count(*) as n from strata where edu_ord is not null and quality_ord is not null group by all")
+def stratum_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _pool(spark, d).groupBy(*_BOTH).agg(F.count("*").alias("n"))
+
+
+@query()
+def alloc_uniform(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratum_stats(_pool(spark, d), _BOTH, 100)
+
+
+@query()
+def alloc_proportional(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratum_stats(_pool(spark, d), _BOTH, 100, "proportional")
+
+
+@query()
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.manifest(sampling.stratified_sample(_pool(spark, d), _BOTH, 100).select("id", *_BOTH, "stratum_weight", "content_type"), ["id", *_BOTH, "stratum_weight"])
+
+
+@query(f"with {v.SQL_ANN}, c as (select content_quality || '×' || educational_value as stratum, count(*) as n from ann where content_quality is not null and educational_value is not null group by 1), t as (select *, round_even(n * 300 / (sum(n) over ())::double, 0) as w from c) select stratum, n, cast(case when n < 5 then n else least(n, greatest(5, least(25, w))) end as bigint) as take from t")
+def eyeball_sizes(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.annotations(spark, d).filter("content_quality is not null and educational_value is not null")
+    return sampling.eyeball_sizes(rows.withColumn("stratum", F.concat_ws("×", "content_quality", "educational_value")), "stratum")
+
+
+_POOLS = f"pools as (select id, case when {v.sampler('educational_value')} >= 3 and {v.sampler('content_quality')} >= 3 and content_ratio = 'complete_content' and content_safety = 'safe' and pii_presence = 'no_pii' then 'top' when {v.sampler('educational_value')} <= 1 and {v.sampler('content_quality')} <= 2 and content_ratio in ('mostly_navigation', 'minimal_content', 'mixed_content') then 'bottom' end as pool from ann)"
+
+
+@query(f"with {v.SQL_ANN}, {_POOLS} select id, pool from pools where pool is not null")
+def extreme_pools(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.extreme_pool(v.annotations(spark, d)).filter("pool is not null").select("id", "pool")
+
+
+@query(f"with {v.SQL_ANN}, {_POOLS} select id, pool from (select *, row_number() over (partition by pool order by sha256('42:' || id), id) as rn from pools where pool is not null) where rn <= 20")
+def pool_samples(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.pool_sample(sampling.extreme_pool(v.annotations(spark, d)), "pool", 20).select("id", "pool")
+
+
+
+@query(f"with {v.SQL_ANN}, {v.SQL_META}, {v.SQL_FEAT}, k as (select content_type, length from feat where content_type is not null and length is not null group by all having count(*) >= 2), g as (select feat.content_type, feat.length, doc_id, cast(i.range as int) as grp, row_number() over (partition by feat.content_type, feat.length, i.range order by sha256('42:' || i.range || ':' || doc_id), doc_id) as rn from feat join k using (content_type, length), range(4) i) select content_type, length, grp as \"group\", doc_id from g where rn <= 8")
+def train_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = feat.to_features(v.joined(spark, d)).select("content_type", "length", "doc_id")
+    return sampling.training_groups(rows, ["content_type", "length"], 8, 4).select("content_type", "length", "group", "doc_id")
+
+
+@query(f"with {v.SQL_ANN} select case " + " ".join(f"when content_type in {t} then '{k}'" for k, t in FAMILIES.items()) + " else 'informational' end as family, count(*) as n from ann group by 1")
+def topic_families(spark: SparkSession, d: str) -> DataFrame:
+    return v.annotations(spark, d).groupBy(topic_family("content_type").alias("family")).agg(F.count("*").alias("n"))
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.annotations(spark, d).withColumn("family", topic_family("content_type"))
+    bucket = F.create_map(*[F.lit(x) for k, n in (("minimal", 0), ("brief", 1), ("moderate", 2), ("substantial", 3)) for x in (k, n)])
+    return rows.withColumn("bucket", F.coalesce(F.try_element_at(bucket, F.col("content_length")), F.lit(0)))
+
+
+@query()
+def pair_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return joins.band_pairs(_families(spark, d), "family", "bucket", "id")
+
+
+@query()
+def pair_capped(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.capped_pairs(pair_candidates(spark, d))
+
+
+@query()
+def calibration_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _families(spark, d)
+    whole = F.col("content_integrity") == "complete"
+    read = sampling.matched_calibration(rows, F.col("content_integrity").isin("severely_degraded", "fragment"), whole & F.col("content_quality").isin("good", "excellent") & (F.col("information_density") == "dense"), "family", 5, 42)
+    sub = sampling.matched_calibration(rows, whole & F.col("educational_value").isin("none", "minimal"), whole & (F.col("educational_value") == "high"), "family", 4, 43)
+    return read.withColumn("pair_kind", F.lit("calibration_readability")).unionByName(sub.withColumn("pair_kind", F.lit("calibration_substance"))).withColumn("calibration_correct_doc", F.lit("b"))
+
+
+@query()
+def queue_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.rater_queue(table(spark, d, "pairs", "pair_id", "pair_kind", "is_duplicate"), "rater-1", 0)
+
+
+@query(f"with {v.SQL_ANN} select content_quality, count(*) as n, round(quantile_cont(length(text), 0.5), 6) as median_chars, round(quantile_cont(length(text), 0.9), 6) as p90_chars from ann where text is not null group by 1")
+def char_stats_by_stratum(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.annotations(spark, d, "text").filter("text is not null").withColumn("c", F.length("text"))
+    return rounded(rows.groupBy("content_quality").agg(F.count("*").alias("n"), F.percentile("c", F.lit(0.5)).alias("median_chars"), F.percentile("c", F.lit(0.9)).alias("p90_chars")))
+
+
+@query("select doc_id, round(length(regexp_replace(text, '[^\\p{Latin}]', '', 'g')) / nullif(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 0)::double, 6) as latin_share from documents")
+def latin_share(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(table(spark, d, "documents", "doc_id", "text").select("doc_id", metrics.latin_share("text").alias("latin_share")))
+
+
+# Preferences.
+
+_CLEAN = "r as (select response_id, min(lower(trim(rater_name, ' \t\n\r'))) as rater_name, min(pair_id) as pair_id, min(pair_kind) as pair_kind, min(is_duplicate) as is_duplicate, min(side_assignment) as side_assignment, min(lower(trim(readability_choice, ' \t\n\r'))) as readability_choice, min(lower(trim(substance_choice, ' \t\n\r'))) as substance_choice, min(skipped) <> 0 as skipped, min(time_ms) as time_ms from responses group by response_id)"
+_PAIRS = f"p as (select pair_id, min({v.bare('doc_a_id')}) as doc_a_id, min({v.bare('doc_b_id')}) as doc_b_id, min(doc_a_content_quality) as aq, min(doc_b_content_quality) as bq, min(doc_a_educational_value) as ae, min(doc_b_educational_value) as be, min(calibration_correct_doc) as correct from pairs group by pair_id)"
+
+
+def _pick(c: str) -> str:
+    return f"case when {c} is not null then case when starts_with({c}, 'a_') = (side_assignment = 'a_left') then 'a' else 'b' end end"
+
+
+def _class(pick: str, a: str, b: str, domain: str) -> str:
+    x, y = (v.mapped(v.label(c), v.SAMPLER[domain]) for c in (a, b))
+    return f"case when {pick} is null then 'missing' when ({x}) is null or ({y}) is null then 'unknown' when ({x}) = ({y}) then 'tie' when ({pick} = 'a') = (({x}) > ({y})) then 'agree' else 'disagree' end"
+
+
+_RATED = f"with {_CLEAN}, {_PAIRS}, q as (select r.*, p.* exclude (pair_id), {_pick('readability_choice')} as chosen_read_doc, {_pick('substance_choice')} as chosen_sub_doc from r join p using (pair_id) where pair_kind = 'real' and not skipped), t as (select *, {_class('chosen_read_doc', 'aq', 'bq', 'content_quality')} as readability_agr, {_class('chosen_sub_doc', 'ae', 'be', 'educational_value')} as substance_agr, readability_choice is not null and substance_choice is not null as both_answered, coalesce(left(readability_choice, 1) <> left(substance_choice, 1), false) as axes_diverged from q)"
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    return preference.rated(table(spark, d, "responses"), table(spark, d, "pairs"))
+
+
+@query(f"{_RATED} select response_id, rater_name, pair_id, chosen_read_doc, chosen_sub_doc, readability_agr, substance_agr, axes_diverged from t")
+def unblind(spark: SparkSession, d: str) -> DataFrame:
+    return _rated(spark, d).select("response_id", "rater_name", "pair_id", "chosen_read_doc", "chosen_sub_doc", "readability_agr", "substance_agr", "axes_diverged")
+
+
+_RATES = "count_if(agr = 'agree') as agree, count_if(agr = 'disagree') as disagree, count_if(agr = 'tie') as tie, count_if(agr = 'unknown') as unknown, count_if(agr = 'missing') as missing, round(count_if(agr = 'agree') / nullif(count_if(agr in ('agree', 'disagree')), 0)::double, 6) as rate"
+_LONG = "l as (select rater_name, 'readability' as axis, readability_agr as agr from t union all select rater_name, 'substance', substance_agr from t)"
+
+
+@query(f"{_RATED}, {_LONG} select axis, {_RATES} from l group by axis")
+def agreement_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(preference.agreement_rates(_rated(spark, d)))
+
+
+@query(f"{_RATED}, {_LONG} select rater_name, axis, {_RATES} from l group by all")
+def agreement_by_rater(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(preference.agreement_rates(_rated(spark, d), "rater_name"))
+
+
+@query(f"{_RATED} select rater_name, count_if(both_answered) as answered, count_if(axes_diverged) as diverged, round(count_if(axes_diverged) / nullif(count_if(both_answered), 0)::double, 6) as rate from t group by 1")
+def separability(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(preference.separability(_rated(spark, d), "rater_name"))
+
+
+@query(f"""with {_CLEAN}, lo as (select pair_id, rater_name, 'readability' as axis, readability_choice as c, side_assignment from r where pair_kind = 'real' and is_duplicate = 1 and not skipped union all select pair_id, rater_name, 'substance', substance_choice, side_assignment from r where pair_kind = 'real' and is_duplicate = 1 and not skipped),
+o as (select axis, pair_id, rater_name, max(({_pick('c')}, {_pick('c')} || split_part(c, '_', 2))) as v from lo where c is not null group by all), s as (select axis, pair_id, rater_name, v[1] as doc, v[2] as ex from o)
+select a.axis, count(*) as rater_pairs, count_if(a.doc = b.doc) as same_document, count_if(a.ex = b.ex) as same_choice, round(avg((a.doc = b.doc)::int), 6) as binary_rate, round(avg((a.ex = b.ex)::int), 6) as exact_rate from s a join s b on a.axis = b.axis and a.pair_id = b.pair_id and a.rater_name < b.rater_name group by 1""")
+def inter_rater(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(preference.inter_rater(table(spark, d, "responses")).filter("rater_pairs > 0"))
+
+
+@query(f"with {_CLEAN} select rater_name, count(*) as n, round(quantile_cont(time_ms, 0.5), 6) as median_ms, round(quantile_cont(time_ms, 0.9), 6) as p90_ms, min(time_ms) as min_ms, max(time_ms) as max_ms from r where not skipped and time_ms is not null group by 1")
+def timing_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(preference.timing(table(spark, d, "responses")))
+
+
+@query(f"with {_CLEAN}, {_PAIRS}, c as (select *, case when pair_kind = 'calibration_readability' then readability_choice else substance_choice end as ch from r where pair_kind <> 'real' and not skipped), k as (select rater_name, pair_kind, {_pick('ch')} as pick, correct from c join p using (pair_id) where correct is not null) select rater_name, pair_kind, count_if(pick = correct) as correct, count(*) as total, round(count_if(pick = correct) / count(*)::double, 6) as accuracy from k where pick is not null group by 1, 2")
+def calibration_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(preference.calibration(table(spark, d, "responses"), table(spark, d, "pairs")))
+
+
+_BOARD = ", ".join(f"count_if(not skipped and {a}_choice = '{c}') as {a}_{c}" for a in ("readability", "substance") for c in preference.CHOICES)
+
+
+@query(f"with {_CLEAN} select rater_name, count(*) as total, count_if(skipped) as skipped, count_if(not r.skipped and pair_kind = 'real' and is_duplicate = 0) as real_count, count_if(not r.skipped and is_duplicate = 1) as repeat_count, count_if(not r.skipped and pair_kind = 'calibration_readability') as cal_read_count, count_if(not r.skipped and pair_kind = 'calibration_substance') as cal_sub_count, round(avg(time_ms) filter (not r.skipped), 6) as mean_time_ms, {_BOARD.replace('not skipped', 'not r.skipped')}, count_if(not r.skipped and readability_choice is not null and substance_choice is not null) as both_answered, count_if(not r.skipped and left(readability_choice, 1) <> left(substance_choice, 1)) as diverged from r group by 1")
+def rater_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(preference.dashboard(table(spark, d, "responses")))
+
+
+_WON = f"with {_CLEAN}, {_PAIRS}, b as (select doc_a_id, doc_b_id, {_pick('readability_choice')} as x, {_pick('substance_choice')} as y from r join p using (pair_id) where not skipped and readability_choice is not null and substance_choice is not null), k as (select doc_a_id, doc_b_id, x as pick from b union all select doc_a_id, doc_b_id, y from b), won as (select case when pick = 'a' then doc_a_id else doc_b_id end as winner, case when pick = 'a' then doc_b_id else doc_a_id end as loser from k)"
+
+
+def _won(spark: SparkSession, d: str) -> DataFrame:
+    return preference.outcomes(table(spark, d, "responses"), table(spark, d, "pairs"))
+
+
+@query(f"{_WON} select winner, loser, count(*) as n from won group by all")
+def comparison_edges(spark: SparkSession, d: str) -> DataFrame:
+    return preference.edges(_won(spark, d))
+
+
+@query(f"{_WON} select doc_id, sum(w)::bigint as wins, sum(l)::bigint as losses, count(*) as n_comparisons from (select winner as doc_id, 1 as w, 0 as l from won union all select loser, 0, 1 from won) group by 1")
+def win_loss(spark: SparkSession, d: str) -> DataFrame:
+    return preference.win_loss(_won(spark, d))
+
+
+@query()
+def bt_scores(spark: SparkSession, d: str) -> DataFrame:
+    return preference.bradley_terry(_won(spark, d), 25)
+
+
+# The judge.
+
+_ANSWER = """case probe_id % 5 when 0 then '{"educational_value": ' || e || ', "content_quality": ' || q || '}' when 1 then 'Here: {"educational_value": ' || e || ', "content_quality": ' || q || '} thanks' when 2 then 'Educational value: ' || e || chr(10) || 'content_quality = ' || q when 3 then '{"educational_value": ' || e || '}' else 'no score' end"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "rank_probes", "probe_id").withColumns({"e": ((F.col("probe_id") * 7 % 130 - 15) / 100).cast("decimal(5,2)").cast("string"), "q": (F.col("probe_id") * 11 % 101 / 100).cast("decimal(5,2)").cast("string")})
+    return rows.select("probe_id", F.expr(_ANSWER).alias("raw"))
+
+
+
+def _score(axis: str) -> str:
+    found = f"regexp_extract(raw, '(?i){axis.replace('_', '[_\\s]*')}[''\"]?\\s*[:=]\\s*(-?\\d+(?:\\.\\d+)?)', 1)"
+    return f"case when {found} <> '' then greatest(least(try_cast({found} as double), 1.0::double), 0.0::double) end"
+
+
+_PARSED = f"with a as (select probe_id, cast((probe_id * 7 % 130 - 15) / 100.0 as decimal(5,2))::varchar as e, cast(probe_id * 11 % 101 / 100.0 as decimal(5,2))::varchar as q from rank_probes), w as (select probe_id, {_ANSWER} as raw from a), s as (select probe_id, {_score('educational_value')} as educational_value, {_score('content_quality')} as content_quality from w)"
+
+
+@query(f"{_PARSED} select probe_id, round(educational_value, 6) as educational_value, round(content_quality, 6) as content_quality, round((educational_value + content_quality) / 2, 6) as quality_score from s")
+def parse_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = _answers(spark, d).select("probe_id", parsed_score("raw", "educational_value").alias("educational_value"), parsed_score("raw", "content_quality").alias("content_quality"))
+    return rounded(s.withColumn("quality_score", combined_score("educational_value", "content_quality")))
+
+
+@query("select count(*) as documents, floor(sum(500 + least(coalesce(length(text), 0), 3000)) / 4)::bigint as input_tokens, count(*) * 30 as output_tokens, round(floor(sum(500 + least(coalesce(length(text), 0), 3000)) / 4) / 1e6 * 0.27 + count(*) * 30 / 1e6 * 0.54, 6) as usd from documents")
+def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(judging.cost(table(spark, d, "documents", "text"), 500, 0.27, 0.54))
+
+
+@query(f"with done as (select {v.bare('doc_id')} as i from document_scores) select distinct {v.bare('id')} as doc_id from eyeball where {v.bare('id')} not in (select i from done)")
+def resume_pending(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "eyeball", "id").select(bare_id("id").alias("doc_id")).distinct()
+    return judging.pending(texts, table(spark, d, "document_scores", "doc_id").select(bare_id("doc_id").alias("doc_id")))
+
+
+@query()
+def judge_scores(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return judging.judge(texts, "Rate {id}: {text}", pause=0)
+
+
+@query(f"{_PARSED}, c as (select *, (educational_value + content_quality) / 2 as quality_score from s) select count(*) as n, count_if(quality_score is null) as failed, " + ", ".join(f"round(avg({c}), 6) as mean_{c}, round(median({c}), 6) as median_{c}" for c in ("quality_score", "educational_value", "content_quality")) + " from c")
+def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = _answers(spark, d).select(parsed_score("raw", "educational_value").alias("educational_value"), parsed_score("raw", "content_quality").alias("content_quality"))
+    return rounded(judging.summary(s.withColumn("quality_score", combined_score("educational_value", "content_quality"))))
+
+
+# Trained models and streams.
+
+
+@query()
+def l1_train_grid(spark: SparkSession, d: str) -> DataFrame:
+    _, cells = training.grid_search(_labelled(spark, d), (1e-4, 1.0, 100.0), (0.0, 2.0), epochs=100)
+    return rounded(spark.createDataFrame(cells[["cell", "alpha", "gamma", "mean_recall"]], "cell int, alpha double, gamma double, mean_recall double"))
+
+
+@query()
+def l2_lambda_rank(spark: SparkSession, d: str) -> DataFrame:
+    ranked = ranking.rank_l1(_labelled(spark, d), unit=_UNIT)
+    groups = sampling.training_groups(ranked.filter("passed_hard_filter"), ["content_type", "length"], 64, 8)
+    model = training.train_lambda(ranked, groups, 30)
+    scored = training.score_lambda(ranked.filter(F.col("rank_l1") <= v.M * v.K), model, "_s")
+    return rounded(ranking.finalize(ranking.rank_l2(scored, v.K, v.M, "trained", F.col("_s")), False))
+
+
+@query()
+def stream_first_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Intake of all answers as a bounded stream; the result lies in the checkpoint folder."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = table(spark, d, "responses")
+    source.write.parquet(f"{base}/in")
+    stream.run_to(stream.first_answers(stream.read_responses(spark, f"{base}/in"), "3650 days").select("rater_name", "pair_id", "response_id"), f"{base}/out", f"{base}/state")
+    return spark.read.schema("rater_name string, pair_id string, response_id string").parquet(f"{base}/out").groupBy("rater_name").agg(F.count("*").alias("answers"))
