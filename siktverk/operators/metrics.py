@@ -26,9 +26,10 @@ def with_ranks(df: DataFrame) -> DataFrame:
 
 
 def guarded_corr(x: str, y: str) -> Column:
-    """Pearson correlation; null where either side is constant."""
-    n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-    return F.when((n > 1) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(F.col(x).cast("double"), F.col(y).cast("double")))
+    """Pearson correlation of rows with both values; null where either side is constant (``corr`` would raise)."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def bundle(df: DataFrame, percentiles: tuple[float, ...] = (1, 5, 10, 20, 30), ks: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
@@ -114,8 +115,8 @@ def mann_whitney(df: DataFrame, group: str, first: str, second: str, value: str)
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """``n, pearson, slope, intercept``."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ok = (F.count("*") > 1) & (F.min(x) < F.max(x))
-    return both.agg(F.count("*").alias("n"), guarded_corr(x, y).alias("pearson"), F.when(ok, F.regr_slope(y, x)).alias("slope"), F.when(ok, F.regr_intercept(y, x)).alias("intercept"))
+    slope = F.when(F.min(x) < F.max(x), F.try_divide(F.covar_pop(x, y), F.var_pop(x)))
+    return both.agg(F.count("*").alias("n"), guarded_corr(x, y).alias("pearson"), slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"))
 
 
 def bland_altman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -1,0 +1,173 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from siktverk.functions.judge import combined_score, parsed_score
+from siktverk.operators import judging, preference, training
+from siktverk.sources import readers, sinks
+from siktverk.sources.readers import RESPONSES
+from siktverk.streaming import responses as stream
+
+PAIRS = "pair_id string, pair_kind string, is_duplicate boolean, doc_a_id string, doc_b_id string, doc_a_content_quality string, doc_b_content_quality string, doc_a_educational_value string, doc_b_educational_value string, calibration_correct_doc string"
+
+
+@pytest.fixture(scope="module")
+def study(spark):
+    pairs = spark.createDataFrame([
+        ("p1", "real", False, "<urn:uuid:A>", "b", "good", "poor", "high", "none", None),
+        ("p2", "real", True, "a", "c", "good", "good", "basic", "high", None),
+        ("k1", "calibration_readability", False, "a", "d", "poor", "good", "none", "high", "b"),
+    ], PAIRS)
+    r = lambda i, who, pair, kind, dup, side, read, sub, skip=0: (i, who, pair, kind, dup, 0, 1, side, read, sub, skip, None, 1000 + int(i), "2024-01-01T00:00:00Z")
+    rows = [
+        r("1", "Ann ", "p1", "real", 0, "a_left", "a_much", "b_slight"),
+        r("1", "Ann ", "p1", "real", 0, "a_left", "a_much", "b_slight"),
+        r("2", "bo", "p1", "real", 0, "a_right", "b_slight", "a_much"),
+        r("3", "ann", "p2", "real", 1, "a_left", "a_slight", None),
+        r("4", "bo", "p2", "real", 1, "a_right", "b_much", "b_much"),
+        r("5", "bo", "k1", "calibration_readability", 0, "a_right", "a_much", "a_much"),
+        r("6", "ann", "p1", "real", 0, "a_left", None, None, 1),
+        r("7", "ann", "gone", "real", 0, "a_left", "a_much", "a_much"),
+    ]
+    return spark.createDataFrame(rows, RESPONSES), pairs
+
+
+def test_agreement(study):
+    rated = preference.rated(*study)
+    got = {r["response_id"]: (r["chosen_read_doc"], r["readability_agr"], r["chosen_sub_doc"], r["substance_agr"], r["axes_diverged"]) for r in rated.collect()}
+    assert got == {
+        "1": ("a", "agree", "b", "disagree", True), "2": ("a", "agree", "b", "disagree", True),
+        "3": ("a", "tie", None, "missing", False), "4": ("a", "tie", "a", "disagree", False),
+    }
+    rates = {r["axis"]: (r["agree"], r["disagree"], r["tie"], r["missing"], r["rate"]) for r in preference.agreement_rates(rated).collect()}
+    assert rates == {"readability": (2, 0, 2, 0, 1.0), "substance": (0, 3, 0, 1, 0.0)}
+    assert preference.separability(rated).first()["rate"] == pytest.approx(2 / 3)
+
+
+def test_inter_rater_and_boards(study):
+    responses, pairs = study
+    i = {r["axis"]: r for r in preference.inter_rater(responses).collect()}
+    assert (i["readability"]["rater_pairs"], i["readability"]["same_document"], i["readability"]["same_choice"]) == (1, 1, 0)
+    d = {r["rater_name"]: r for r in preference.dashboard(responses).collect()}
+    assert d["ann"]["total"] == 4 and d["ann"]["skipped"] == 1 and d["bo"]["cal_read_count"] == 1
+    assert {r["rater_name"]: (r["correct"], r["total"]) for r in preference.calibration(responses, pairs).collect()} == {"bo": (1, 1)}
+    assert {r["rater_name"]: r["n"] for r in preference.timing(responses).collect()} == {"ann": 3, "bo": 3}
+
+
+def test_bradley_terry(study, spark):
+    won = preference.outcomes(*study)
+    assert won.count() == 8
+    table = {r["doc_id"]: (r["wins"], r["losses"]) for r in preference.win_loss(won).collect()}
+    assert sum(w for w, _ in table.values()) == 8 == sum(x for _, x in table.values())
+    chain = spark.createDataFrame([("x", "y")] * 3 + [("y", "z")] * 3 + [("z", "y")], "winner string, loser string")
+    s = {r["doc_id"]: r["log_odds"] for r in preference.bradley_terry(chain, 60).collect()}
+    assert s["x"] > s["y"] > s["z"] and abs(sum(s.values())) < 1e-3
+    assert preference.bradley_terry(chain.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("raw", "expected"),
+    [
+        ('{"educational_value": 0.7, "content_quality": 0.4}', (0.7, 0.4)),
+        ('text {"educational_value": 0.5, "content_quality": 0.5} text', (0.5, 0.5)),
+        ("educational_value: 0.4\ncontent_quality: 0.8", (0.4, 0.8)),
+        ("no numbers here", (None, None)),
+        ('{"score": 1}', (None, None)),
+        ("", (None, None)),
+        (None, (None, None)),
+        ('{"educational_value": 0.6}', (0.6, None)),
+        ('{"educational_value": 1.5, "content_quality": -0.3}', (1.0, 0.0)),
+    ],
+)
+def test_parsing(spark, raw, expected):
+    df = spark.createDataFrame([(raw,)], "raw string")
+    assert tuple(df.select(parsed_score("raw", "educational_value"), parsed_score("raw", "content_quality")).first()) == expected
+
+
+def test_combination(spark):
+    df = spark.createDataFrame([(0.9, 0.2), (0.5, None), (None, 0.5)], "e double, q double").select(combined_score("e", "q"))
+    assert [r[0] for r in df.collect()] == [pytest.approx(0.55), None, None]
+
+
+def test_judging_resumes_and_keeps_failures(spark):
+    texts = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "doc_id string, text string")
+    done = spark.createDataFrame([("a", None)], "doc_id string, quality_score double")
+    rows = {r["doc_id"]: r for r in judging.judge(texts, "{id} {text}", done=done, pause=0).collect()}
+    assert set(rows) == {"b", "c"} and rows["b"]["quality_score"] is not None
+    bad = judging.judge(texts, "{text}", scorer=lambda t: "nothing", attempts=2, pause=0).collect()
+    assert all(r["quality_score"] is None and r["raw_response"] == "nothing" for r in bad)
+    s = judging.summary(judging.judge(texts, "{text}", scorer=lambda t: "nothing", attempts=1, pause=0)).first()
+    assert (s["n"], s["failed"]) == (3, 3)
+    assert judging.cost(texts, 100, 1.0, 1.0).first()["output_tokens"] == 90
+
+
+def test_outputs(spark):
+    scores = spark.createDataFrame([("a", 0.1, 0.3, 0.2), ("b", None, None, None)], "doc_id string, educational_value double, content_quality double, quality_score double")
+    manifest = spark.createDataFrame([("a", "a", "x"), ("b", "b", "y")], "doc_id string, id string, content_type string")
+    out = sinks.score_outputs(scores, manifest, ["id", "quality_score", "content_type", "absent"])
+    assert out["deliverable"].columns == ["id", "quality_score"] and out["axes"].columns == list(sinks.AXES)
+    assert [tuple(r) for r in out["combined"].orderBy("id").collect()] == [("a", 0.2, "x", None), ("b", None, "y", None)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", True, 1, 1), ("b", False, None, 2)], "doc_id string, in_top_k boolean, rank_l2 int, rank_l1 int")
+    sinks.write_ranking(df, f"{tmp_path}/r", "ndjson", {"rows": 2})
+    assert spark.read.json(f"{tmp_path}/r").count() == 2 and sinks.read_json(f"{tmp_path}/r.report.json") == {"rows": 2}
+    assert '"doc_id":"a"' in sinks.preview(df, 5)
+    sinks.write_once(df, f"{tmp_path}/o")
+    sinks.write_once(df.limit(0), f"{tmp_path}/o")
+    assert spark.read.parquet(f"{tmp_path}/o").count() == 2
+    new = spark.createDataFrame([("a", 9), ("c", 9)], "doc_id string, rank_l1 int")
+    old = df.select("doc_id", "rank_l1")
+    assert {tuple(r) for r in sinks.upsert(old, new, ["doc_id"]).collect()} == {("a", 1), ("b", 2), ("c", 9)}
+    assert {tuple(r) for r in sinks.upsert(old, new, ["doc_id"], True).collect()} == {("a", 9), ("b", 2), ("c", 9)}
+    text = sinks.metrics_markdown([{"method": "m", "n": 3, "spearman": float("nan")}], {"rows": 3}, {"x": -2.0, "y": 1.0})
+    assert "n/a" in text and text.index("| x |") < text.index("| y |")
+    page = sinks.inspection_html(spark.createDataFrame([("1", "g", "<b>")], "id string, q string, t string"), "q", "T", ["t"])
+    assert "&lt;b&gt;" in page
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;x\n1;2\n", encoding="utf-8")
+    assert readers.read_local(spark, f"{tmp_path}/a.csv").columns == ["id", "x"]
+    with pytest.raises(FileNotFoundError):
+        readers.open_with_fallback(spark, f"{tmp_path}/none", "sv")
+    corpus = spark.createDataFrame([("a", "one"), ("<urn:uuid:a>", "two"), ("b", "three")], "id string, text string")
+    want = spark.createDataFrame([("a",), ("b",)], "id string")
+    cache = spark.createDataFrame([("a", "alpha")], "id string, text string")
+    assert {tuple(r) for r in readers.fetch_texts(corpus, want, cache).collect()} == {("a", "alpha"), ("b", "three")}
+    assert readers.fetch_texts(None, want, cache).count() == 1
+    assert readers.resolve_split(["train", "swe_Latn"], "xx") == "swe_Latn"
+    with pytest.raises(ValueError):
+        readers.validated_shard(corpus.withColumnRenamed("id", "k"), want)
+    assert readers.scan(corpus, ["id", "absent"], 2).columns == ["id", "absent"]
+
+
+def test_stream(spark, study, tmp_path):
+    responses, _ = study
+    responses.write.parquet(f"{tmp_path}/in")
+    rows = stream.first_answers(stream.read_responses(spark, f"{tmp_path}/in")).select("rater_name", "pair_id")
+    stream.run_to(rows, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(set(got)) == 7
+
+
+def test_pairwise_trainer():
+    import numpy as np
+
+    x = np.array([[0.1] * 7, [0.5] * 7, [0.9] * 7])
+    y = np.array([0.1, 0.6, 0.95])
+    w = training.fit_linear(x, y, 0.01, 1.0, epochs=30)
+    assert list(np.argsort(x @ w)) == [0, 1, 2] and training.recall(x @ w, y, 50) >= 0.5
+    r = np.random.default_rng(0)
+    z = r.normal(size=(200, 3))
+    rel = np.clip(np.round(z[:, 0] + 2), 0, 4)
+    m = training.Lambda(20, 0.2).fit(z, rel, [np.arange(k, k + 20) for k in range(0, 200, 20)])
+    assert np.corrcoef(m.predict(z), z[:, 0])[0, 1] > 0.8
+    assert not training.fit_linear(x, np.ones(3), 0.01, 1.0).any()
+
+
+def test_choice_of_null(spark):
+    df = spark.createDataFrame([(None, "a_left"), ("a_much", None)], "c string, s string")
+    assert [r[0] for r in df.select(preference.chosen(F.col("c"), F.col("s"))).collect()] == [None, None]
