@@ -47,17 +47,17 @@ def outcomes(responses: DataFrame, pairs: DataFrame, choice: str = "substance_ch
     return edge.groupBy("i", "j").agg(F.sum("n").alias("n_ij"), F.sum("m").alias("n_ji"))
 
 
-def _truncated(t: Column) -> tuple[Column, Column]:
-    """V(t) = pdf/cdf of the normal distribution, and W(t) = V (V + t), without overflow."""
-    x = F.abs(t) / 2**0.5
-    u = 1 / (1 + x / 2)
+def _tail(u: Column) -> Column:
+    """erfc(x) exp(x^2) from u = 1 / (1 + x / 2), x >= 0."""
     series = F.lit(ERFC[-1])
     for c in reversed(ERFC[:-1]):
         series = series * u + c
-    tail = u * F.exp(series)  # erfc(x) exp(x^2)
-    bell = F.exp(-t * t / 2)
-    v = 2 / (2 * 3.141592653589793) ** 0.5 * F.when(t < 0, 1 / tail).otherwise(bell / (2 - tail * bell))
-    return v, F.least(F.greatest(v * (v + t), F.lit(1e-9)), F.lit(1 - 1e-9))
+    return u * F.exp(series)
+
+
+def _ratio(t: Column, tail: Column, bell: Column) -> Column:
+    """V(t) = pdf / cdf of the normal distribution, without overflow; ``tail`` for x = |t| / sqrt 2, ``bell`` = exp(-t^2 / 2)."""
+    return 2 / (2 * 3.141592653589793) ** 0.5 * F.when(t < 0, 1 / tail).otherwise(bell / (2 - tail * bell))
 
 
 def _state(e: DataFrame) -> DataFrame:
@@ -68,20 +68,27 @@ def _state(e: DataFrame) -> DataFrame:
     return summed.select("item", (F.col("p") + 1 / PRIOR_SD**2).alias("p"), "h")
 
 
-def _factor(wp: str, wh: str, lp: str, lh: str, winner: str, loser: str) -> list[Column]:
-    """Damped new messages (precision, precision times mean) to the winner and the loser of one factor."""
-    P, H = (lambda s: F.col(f"{s}.p")), (lambda s: F.col(f"{s}.h"))
-    kw, kl = P(winner) - F.col(wp), P(loser) - F.col(lp)
-    mw, ml = (H(winner) - F.col(wh)) / kw, (H(loser) - F.col(lh)) / kl
-    c2 = 2 * NOISE_SD**2 + 1 / kw + 1 / kl
-    c = F.sqrt(c2)
-    v, w = _truncated((mw - ml) / c)
+def _update(joined: DataFrame) -> DataFrame:
+    """New messages of both factors of each row (i beat j, j beat i), damped; ``joined`` has the items' states as x and y.
+
+    In stages of named columns, so that no expression is written out twice in the plan.
+    """
+    keep = ["i", "j", "n_ij", "n_ji"]
+    # precision and mean of each item without the one message that is replaced: of the winner (w) and the loser (l) of both factors
+    ends = {"1w": ("x", "ap", "ah"), "1l": ("y", "bp", "bh"), "2w": ("y", "dp", "dh"), "2l": ("x", "cp", "ch")}
+    cavity = joined.select(*keep, *_MESSAGES, *[(F.col(f"{s}.p") - F.col(p)).alias(f"k{e}") for e, (s, p, _) in ends.items()], *[(F.col(f"{s}.h") - F.col(h)).alias(f"e{e}") for e, (s, _, h) in ends.items()])
+    means = cavity.withColumns({f"m{e}": F.col(f"e{e}") / F.col(f"k{e}") for e in ends} | {f"c{f}": 2 * NOISE_SD**2 + 1 / F.col(f"k{f}w") + 1 / F.col(f"k{f}l") for f in "12"})
+    tests = means.withColumns({f"t{f}": (F.col(f"m{f}w") - F.col(f"m{f}l")) / F.sqrt(f"c{f}") for f in "12"})
+    parts = tests.withColumns({f"u{f}": 1 / (1 + F.abs(f"t{f}") / 2**1.5) for f in "12"} | {f"b{f}": F.exp(-F.col(f"t{f}") * F.col(f"t{f}") / 2) for f in "12"})
+    tails = parts.withColumns({f"s{f}": _tail(F.col(f"u{f}")) for f in "12"})
+    ratio = tails.withColumns({f"v{f}": _ratio(F.col(f"t{f}"), F.col(f"s{f}"), F.col(f"b{f}")) for f in "12"})
+    both = ratio.withColumns({f"w{f}": F.least(F.greatest(F.col(f"v{f}") * (F.col(f"v{f}") + F.col(f"t{f}")), F.lit(1e-9)), F.lit(1 - 1e-9)) for f in "12"})
+    new = both.withColumns({f"p{e}": F.col(f"k{e}") / (1 - F.col(f"w{e[0]}") / (F.col(f"k{e}") * F.col(f"c{e[0]}"))) for e in ends})
     out = []
-    for k, m, sign, p, h in ((kw, mw, 1, wp, wh), (kl, ml, -1, lp, lh)):
-        precision = k / (1 - w / (k * c2))
-        mean = m + sign * v / (k * c)
-        out += [F.col(p) + DAMPING * (precision - k - F.col(p)), F.col(h) + DAMPING * (precision * mean - k * m - F.col(h))]
-    return out
+    for e, (_, p, h) in ends.items():
+        mean = F.col(f"m{e}") + (1 if e[1] == "w" else -1) * F.col(f"v{e[0]}") / (F.col(f"k{e}") * F.sqrt(f"c{e[0]}"))
+        out += [(F.col(p) + DAMPING * (F.col(f"p{e}") - F.col(f"k{e}") - F.col(p))).alias(p), (F.col(h) + DAMPING * (F.col(f"p{e}") * mean - F.col(f"e{e}") - F.col(h))).alias(h)]
+    return new.select(*keep, *out)
 
 
 def skills(compared: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -101,8 +108,7 @@ def skills(compared: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         state = _state(e)
         held = F.broadcast(state) if small else state
         joined = e.join(held.alias("x"), F.col("i") == F.col("x.item")).join(held.alias("y"), F.col("j") == F.col("y.item"))
-        new = [*_factor("ap", "ah", "bp", "bh", "x", "y"), *_factor("dp", "dh", "cp", "ch", "y", "x")]
-        e = steps.next(joined.select("i", "j", "n_ij", "n_ji", *[c.alias(m) for c, m in zip(new, ("ap", "ah", "bp", "bh", "dp", "dh", "cp", "ch"))]))
+        e = steps.next(_update(joined))
     mean, sd = F.col("h") / F.col("p"), 1 / F.sqrt("p")
     out = names.join(_state(e).withColumnRenamed("item", "key"), key("doc_id") == F.col("key"))
     return out.select("doc_id", mean.alias("mean"), sd.alias("sd"), (mean - 3 * sd).alias("lower_bound"), "wins", "losses")
