@@ -1,6 +1,6 @@
 """Ranking metrics and statistics. Names tell which of the usual variants is meant.
 
-Tables of scores to be compared have ``method, doc_id, score, gold``; windows are per method, over labelled rows.
+Tables of scores to be compared have ``method, doc_id, score, gold``; ranks are made by range partitioning, not by windows over all rows.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siktverk.operators.ordering import numbered_within, running_counts
+
 
 def relevance_bin(c: Column | str, bins: int = 8) -> Column:
     """min(floor(clip(y) * bins), bins - 1); null stays null."""
@@ -16,13 +18,9 @@ def relevance_bin(c: Column | str, bins: int = 8) -> Column:
 
 
 def with_ranks(df: DataFrame) -> DataFrame:
-    """Adds 1-based ordinal ranks ``rp`` (score) and ``rg`` (gold), ties by ``doc_id``, and ``n``."""
-    by = Window.partitionBy("method")
-    return df.withColumns({
-        "rp": F.row_number().over(by.orderBy(F.desc("score"), F.asc("doc_id"))),
-        "rg": F.row_number().over(by.orderBy(F.desc("gold"), F.asc("doc_id"))),
-        "n": F.count("*").over(by),
-    })
+    """Adds 1-based ordinal ranks ``rp`` (score) and ``rg`` (gold) per method, ties by ``doc_id``, without a window over all rows."""
+    ranked = numbered_within(df, "method", [F.desc("score"), F.asc("doc_id")], "rp")
+    return numbered_within(ranked, "method", [F.desc("gold"), F.asc("doc_id")], "rg")
 
 
 def guarded_corr(x: str, y: str) -> Column:
@@ -34,8 +32,9 @@ def guarded_corr(x: str, y: str) -> Column:
 
 def bundle(df: DataFrame, percentiles: tuple[float, ...] = (1, 5, 10, 20, 30), ks: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
     """One row a method: ``n``, ``spearman`` of ordinal ranks, ``recall_p``, ``ndcg_k`` (null for k > n), gains 2^bin - 1."""
-    r = with_ranks(df.filter("score is not null and gold is not null")).withColumn("rel", relevance_bin("gold"))
-    r = r.withColumn("ri", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("rel"), "doc_id")))
+    both = df.filter("score is not null and gold is not null")
+    sizes = F.broadcast(both.groupBy("method").agg(F.count("*").alias("n")))  # a row a method
+    r = with_ranks(both).join(sizes, "method").withColumn("rel", relevance_bin("gold"))
     gain = F.pow(F.lit(2.0), F.col("rel")) - 1
     aggs = [F.max("n").alias("n"), guarded_corr("rp", "rg").alias("spearman")]
     for p in percentiles:
@@ -43,7 +42,7 @@ def bundle(df: DataFrame, percentiles: tuple[float, ...] = (1, 5, 10, 20, 30), k
         aggs.append((F.count_if((F.col("rp") <= cut) & (F.col("rg") <= cut)) / F.max(cut)).alias(f"recall_{p:g}"))
     for k in ks:
         dcg = F.sum(F.when(F.col("rp") <= k, gain / F.log2(F.col("rp") + 1)))
-        ideal = F.sum(F.when(F.col("ri") <= k, gain / F.log2(F.col("ri") + 1)))
+        ideal = F.sum(F.when(F.col("rg") <= k, gain / F.log2(F.col("rg") + 1)))
         aggs.append(F.when(F.max("n") >= k, F.when(ideal > 0, dcg / ideal).otherwise(0.0)).alias(f"ndcg_{k}"))
     return r.groupBy("method").agg(*aggs)
 
@@ -60,10 +59,9 @@ def bin_histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the average rank of ``column`` (ties share the mean position), from its value histogram."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.filter(F.col(column).isNotNull()).withColumn(name, before + (F.col("_n") + 1) / 2).drop("_n")
+    """Adds the average rank of ``column`` (ties share the mean position), from its value histogram with distributed running counts."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.lit("all").alias("_g"), column).agg(F.count("*").alias("_n"))
+    ranks = running_counts(counts, "_g", column, "_n").select(column, (F.col("before") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, column, "left")
 
 
@@ -102,9 +100,8 @@ def _tail(z: Column) -> Column:
 def mann_whitney(df: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:
     """``n1, n2, u, auc, p_greater`` of the first group against the second; normal approximation with tie correction."""
     rows = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(group, value)
-    counts = rows.groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("under", F.coalesce(F.sum("b").over(w), F.lit(0))).withColumn("t", F.col("a") + F.col("b"))
+    counts = rows.groupBy(F.lit("all").alias("g"), value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
+    below = running_counts(counts, "g", value, "b", "a").withColumnRenamed("before", "under").withColumn("t", F.col("a") + F.col("b"))
     s = below.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("under") + F.col("a") * F.col("b") / 2).alias("u"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))

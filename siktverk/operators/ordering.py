@@ -33,13 +33,25 @@ def numbered(df: DataFrame, keys: list[Column], name: str = "position") -> DataF
     return kept.withColumn(name, position).drop("_at", "_part")
 
 
-def running_counts(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
+def numbered_within(df: DataFrame, group: str, keys: list[Column], name: str = "position") -> DataFrame:
+    """:func:`numbered` inside each group; groups are few (methods, classes), as one number a group reaches the driver."""
+    kept = numbered(df, [F.asc(group), *keys], "_all")
+    sizes = {r[group]: r["n"] for r in kept.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    running, entries = 0, []
+    for k in sorted(sizes):
+        entries += [F.lit(k), F.lit(running).cast("bigint")]
+        running += sizes[k]
+    start = F.element_at(F.create_map(*entries), F.col(group)) if entries else F.lit(0).cast("bigint")
+    return kept.withColumn(name, F.col("_all") - start).drop("_all")
+
+
+def running_counts(counts: DataFrame, group: str, value: str, n: str, *keep: str) -> DataFrame:
     """``group, value, n, before, total``: rows of the group below the value, and in the group; ``counts`` has a row for each value.
 
-    A value that holds a third of all rows is one row here.
+    A value that holds a third of all rows is one row here. Columns named in ``keep`` stay.
     """
     parts = counts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = counts.select(group, value, n).repartitionByRange(int(parts), group, value)
+    ranged = counts.select(group, value, n, *keep).repartitionByRange(int(parts), group, value)
     kept = durable(ranged.withColumn("_part", F.spark_partition_id()))
     sums = kept.groupBy(group, "_part").agg(F.sum(n).alias("s")).collect()
     rows, held = [], {}
