@@ -1,7 +1,8 @@
 """Per-document text statistics, and which documents are not prose (problem 4).
 
-Method: one pass computes the statistics; mergeable quantile sketches (KLL) of each statistic are built per language; each
-value becomes a robust z-score against its language, and documents in the tails are flagged.
+Method: one pass computes the statistics; mergeable quantile sketches (KLL) of each statistic are built per language over the
+distinct texts, so that copies don't move the quartiles; each value becomes a robust z-score against its language, and
+documents in the tails are flagged.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ _WORD, _TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
 _ENDS = re.compile("[.!?…][\"'”’»)\\]]*$")
 
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_word_ratio", "words_per_line")
-#: A language with fewer documents than this is measured against all documents.
+#: A language with fewer distinct texts than this is measured against all texts.
 LEAST_DOCUMENTS = 50
 #: Robust z-scores of the common-word ratio that make a document no prose: alone, with another tail, with a tail of digits or symbols.
 ALONE, WITH_TAIL, WITH_MARKS = -5.0, -3.0, -2.0
@@ -53,33 +55,34 @@ def measure(text: str) -> tuple[str, int, int, float, float, float, float, float
 
 
 def statistics(df: DataFrame, id_column: str = "id", text_column: str = "text") -> DataFrame:
-    """``id`` (bare), ``language``, ``char_count`` and the statistics, one row a row of ``df``.
+    """``id`` (bare), ``language``, ``char_count``, the statistics and ``text_id`` (a 128-bit hash of the text), one row a row of ``df``.
 
     ``char_count`` counts the characters of the text itself. A null text has null statistics; an empty or blank one has
     zeros and the language ``und``; null ids stay. Other columns are ignored.
     """
-    schema = "id string, language string, char_count bigint, word_count bigint, " + ", ".join(f"{k} double" for k in STATISTICS[1:])
+    schema = "id string, language string, char_count bigint, word_count bigint, " + ", ".join(f"{k} double" for k in STATISTICS[1:]) + ", text_id binary"
     names = [f.split(" ")[0] for f in schema.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 6]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 6, pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t) if (t := x.as_py()) is not None else (None,) * 9 for x in batch.column(1)]
-            columns = zip(*rows) if rows else [[]] * 9
+            rows = [(*measure(t), xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))) if (t := x.as_py()) is not None else (None,) * 10 for x in batch.column(1)]
+            columns = zip(*rows) if rows else [[]] * 10
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds[1:])]], names=names)
 
     return spread(df.select(bare_id(id_column).alias("id"), F.col(text_column).cast("string"))).mapInArrow(run, schema)
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """``language, n`` and a KLL sketch of each statistic; the row ``*`` is the merge of all languages."""
-    one = stats.filter("language is not null").groupBy("language").agg(F.count("*").alias("n"), *[F.expr(f"kll_sketch_agg_double(cast({k} as double))").alias(k) for k in STATISTICS])
+    """``language, n`` and a KLL sketch of each statistic, over the distinct texts; the row ``*`` is the merge of all languages."""
+    once = stats.filter("language is not null").select("text_id", "language", *STATISTICS).dropDuplicates(["text_id"])
+    one = once.groupBy("language").agg(F.count("*").alias("n"), *[F.expr(f"kll_sketch_agg_double(cast({k} as double))").alias(k) for k in STATISTICS])
     whole = one.agg(F.sum("n").alias("n"), *[F.expr(f"kll_merge_agg_double({k})").alias(k) for k in STATISTICS])
     return one.unionByName(whole.select(F.lit("*").alias("language"), "n", *STATISTICS))
 
 
 def quality(stats: DataFrame) -> DataFrame:
-    """``stats`` with a robust z-score ``<statistic>_z`` each, and ``prose``: false for lists, tables and junk, null without text.
+    """``stats`` without ``text_id``, with a robust z-score ``<statistic>_z`` each, and ``prose``: false for lists, tables and junk, null without text.
 
     Scores are (value - median) / (interquartile range / 1.349) of the document's language; the common-word ratio of a short
     text varies more, which its score allows for. The sketches' quartiles (a row a language) are collected.
@@ -105,7 +108,7 @@ def quality(stats: DataFrame) -> DataFrame:
             for language in own:
                 z = F.when(F.col("language") == language, score(rows[language])).otherwise(z)
             columns[f"{k}_z"] = z
-    out = stats.withColumns(columns)
+    out = stats.drop("text_id").withColumns(columns)
     z = {k: F.col(f"{k}_z") for k in STATISTICS}
     marks = (z["symbol_ratio"] > TAIL) | (z["digit_ratio"] > TAIL)
     another = marks | (F.abs(z["mean_word_length"]) > TAIL) | (F.col("line_end_ratio") == 0)

@@ -175,6 +175,15 @@ def test_sketches_merge(spark):
     assert rows.pop("*") == sum(rows.values()) == 100
 
 
+def test_copies_of_a_list_do_not_move_the_limits(spark):
+    lists = ["Lista:\n" + "\n".join(f"- Energimodell {w} och {x}" for w in "park skog vatten kabel brand glas".split()) for x in ("a", "b")]
+    rows = [(f"q{i}", (PROSE[: 60 + i] + PROSE) * (1 + i % 3)) for i in range(60)] + [("l0", lists[0]), ("l1", lists[1])]
+    few = spark.createDataFrame(rows, "id string, text string")
+    assert {r["id"] for r in textstats.not_prose(few).collect()} == {"l0", "l1"}
+    many = spark.createDataFrame(rows + [(f"c{i}", lists[0]) for i in range(60)], "id string, text string")
+    assert {r["id"] for r in textstats.not_prose(many).collect()} == {"l0", "l1", *(f"c{i}" for i in range(60))}
+
+
 def test_boosted_trees():
     import numpy as np
 
