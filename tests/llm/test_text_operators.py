@@ -236,6 +236,17 @@ def test_repair_end_to_end(spark, prose):
     assert texts["m"].startswith("Rapporten granskade") and texts["n"] is None and texts["e"] == "" and texts["l"] == "- Park\n- Hamn\n- Skola"
 
 
+def test_words_misread_in_many_copies(spark, prose):
+    misread = "Rapp0rten granskade en ny lösning för kommunen och det är inte klart om den kan vara färdig före maj.\n"
+    other = "Nämnden beslutade en större lösning för rapp0rten och det är inte klart om den kan vara färdig före juni.\n"
+    rows = [(f"d{i}", t) for i, t in enumerate(prose)] + [(f"c{i}", misread) for i in range(60)] + [("o", other)]
+    repair = scans.Repair(spark.createDataFrame(rows, "id string, text string"))
+    got = {r["id"] for r in repair.defects().filter("defect = 'misread'").collect()}
+    assert {"o", *(f"c{i}" for i in range(60))} <= got
+    texts = {r["id"]: r["text"] for r in repair.texts().collect()}
+    assert texts["c7"].startswith("Rapporten granskade en ny lösning") and "för rapporten och" in texts["o"]
+
+
 def test_repair_of_nothing(spark):
     repair = scans.Repair(spark.createDataFrame([], "id string, text string"))
     assert repair.defects().count() == 0 and repair.texts().count() == 0
