@@ -188,6 +188,29 @@ def test_overlap_against_brute_force(spark):
     assert overlap.Overlap(df.limit(0)).pairs().count() == 0
 
 
+def test_misspelt_words_in_a_large_corpus():
+    import numpy as np
+    import xxhash
+
+    r = random.Random(8)
+    n, vocabulary = 250_000, [f"word{k}" for k in range(20_000)]
+    share = [1 / (k + 3) for k in range(len(vocabulary))]
+    counters = np.zeros(overlap.COUNTERS, dtype=np.int64)
+    for w, x in zip(vocabulary, share):
+        counters[xxhash.xxh64_intdigest(w.encode(), 42) & overlap.COUNTERS - 1] += int(n * min(0.9, 5 * x)) + 1
+    one = [r.choices(vocabulary, share, k=50) for _ in range(400)]
+    two = []
+    for words in one:
+        v = list(words)
+        for p in r.sample(range(50), 10):
+            v[p] = f"{v[p]}{r.choice('xyz')}{r.randrange(10**6)}"
+        two.append(v)
+    coder = overlap.Coder(counters, n)
+    held = {(t, k): c for t, k, c in zip(*coder.encode(one))}
+    found = {t for t, k, c in zip(*coder.encode(two)) if (t, k) in held and sum(int(x).bit_count() for x in c ^ held[t, k]) <= overlap.RADIUS}
+    assert all(overlap.alike(a, b) for a, b in zip(one, two)) and len(found) >= 0.97 * len(one)
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):
