@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siktverk.functions.ids import canonical_id
@@ -72,19 +72,34 @@ def ordered_left_join(left: DataFrame, right: DataFrame, key: str, order: str) -
     return left.join(right, key, "left").orderBy(order)
 
 
-def band_pairs(df: DataFrame, group: str, band: str, key: str, width: int = 1, nearest: int = 5, seed: int = 42) -> DataFrame:
-    """Unordered pairs ``a, b`` inside a group whose bands differ by ``width`` at most: each row with its ``nearest`` followers.
+def band_members(df: DataFrame, group: str, band: str, key: str) -> DataFrame:
+    """``group, band, key``: one row a key (its smallest group and band); null keys are left out."""
+    row = df.filter(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(band).isNotNull()).groupBy(key).agg(F.min(F.struct(group, band)).alias("_row"))
+    return row.select("_row.*", key)
 
-    Rows of a (group, band) stand in a seeded order, in chunks of bounded size, and meet only the next ``nearest`` rows of each
-    allowed band, so pairs grow with the rows and not with their square.
+
+def band_classes(df: DataFrame, group: str, band: str, key: str, width: int = 1) -> DataFrame:
+    """All pairs of :func:`band_pairs` in compact form: ``group, band, key, meets, partners``, one row a key.
+
+    A row's partners are all other keys of its group whose band is in ``meets``; ``partners`` is their number, so the sum of
+    it is twice the number of pairs. Its size is that of ``df``.
+    """
+    rows = band_members(df, group, band, key)
+    sizes = rows.groupBy(group, band).agg(F.count("*").alias("_n"))
+    other = sizes.select(F.col(group).alias("_g"), F.col(band).alias("_b"), F.col("_n").alias("_m"))
+    near = sizes.join(other, (F.col(group) == F.col("_g")) & (F.abs(F.col(band) - F.col("_b")) <= width))
+    meets = near.groupBy(group, band).agg(F.sort_array(F.collect_list("_b")).alias("meets"), (F.sum("_m") - 1).alias("partners"))
+    return rows.join(meets, [group, band]).select(group, band, key, "meets", "partners")
+
+
+def band_pairs(df: DataFrame, group: str, band: str, key: str, width: int = 1) -> DataFrame:
+    """``group, a, b``: all unordered pairs inside a group whose bands differ by ``width`` at most.
+
+    Their number grows with the square of a group; :func:`band_classes` holds the same relation in compact form.
     """
-    w = Window.partitionBy(group, band, "_chunk").orderBy("_h", key)
-    base = df.select(group, band, key).withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256))
-    base = base.withColumn("_chunk", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % 64).withColumn("_n", F.row_number().over(w))
-    a = base.select(group, "_chunk", F.col(band).alias("ba"), F.col(key).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nearest))).alias("_d"), "_n").withColumn("_n", F.col("_n") + F.col("_d"))
-    b = base.select(group, "_chunk", F.col(band).alias("bb"), F.col(key).alias("b"), "_n")
-    met = a.join(b, [group, "_chunk", "_n"]).filter((F.abs(F.col("ba") - F.col("bb")) <= width) & (F.col("a") != F.col("b")))
-    return met.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = band_members(df, group, band, key)
+    one, two = rows.select(group, F.col(band).alias("_x"), F.col(key).alias("a")), rows.select(group, F.col(band).alias("_y"), F.col(key).alias("b"))
+    return one.join(two, group).filter((F.col("a") < F.col("b")) & (F.abs(F.col("_x") - F.col("_y")) <= width)).select(group, "a", "b")
 
 
 def aligned_union(base: DataFrame, *others: DataFrame) -> DataFrame:

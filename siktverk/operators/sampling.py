@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siktverk.functions.domains import SAMPLER, coerced_ordinal, ordinal
 from siktverk.functions.ids import seeded_order
+from siktverk.operators.joins import band_members
 
 
 def with_strata(df: DataFrame, id_column: str = "id") -> DataFrame:
@@ -130,6 +133,78 @@ def quotas(sizes: dict[str, int], total: int = 99) -> dict[str, int]:
     return out
 
 
+#: Pairs up to which they are listed and shuffled; more are drawn at random, of which a cap of a few never leaves none.
+LISTED = 20_000
+
+
+def _draw(sizes: dict[tuple, int], allowed: list[tuple[tuple, tuple]], wanted: int, used: dict[tuple, int], seen: set, cap: int, r: random.Random) -> list[tuple[tuple, tuple]]:
+    """Up to ``wanted`` new pairs of (class, place), uniform over all pairs of the allowed classes; counts them in ``used`` and ``seen``."""
+    weights = [sizes[x] * (sizes[x] - 1) // 2 if x == y else sizes[x] * sizes[y] for x, y in allowed]
+    out: list[tuple[tuple, tuple]] = []
+
+    def take(a: tuple, b: tuple) -> None:
+        a, b = min(a, b), max(a, b)
+        if a != b and (a, b) not in seen and used.get(a, 0) < cap and used.get(b, 0) < cap:
+            seen.add((a, b))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+            out.append((a, b))
+
+    if sum(weights) <= LISTED:
+        every = [((x, i), (y, j)) for x, y in allowed for i in range(sizes[x]) for j in range(i + 1 if x == y else 0, sizes[y])]
+        r.shuffle(every)
+        for a, b in every:
+            if len(out) == wanted:
+                break
+            take(a, b)
+        return out
+    for _ in range(1000 * wanted):
+        if len(out) == wanted:
+            break
+        x, y = r.choices(allowed, weights)[0]
+        take((x, r.randrange(sizes[x])), (y, r.randrange(sizes[y])))
+    return out
+
+
+def drawn_pairs(df: DataFrame, group: str, band: str, key: str, total: int = 99, cap: int = 5, width: int = 1, seed: int = 42) -> DataFrame:
+    """``a, b, group``: ``total`` pairs drawn from all of :func:`band_pairs`, by :func:`quotas` of the groups' sizes.
+
+    No key is in more than ``cap`` pairs. What the groups cannot give is filled from pairs across groups (group null) and within,
+    bands as near. The sizes of the classes and at most 2 ``total`` keys of each, the first in seeded order, reach the driver:
+    as many as the pairs can name, so the draw is over all rows. ``total`` is for studies, not for the size of the data.
+    """
+    rows = band_members(df, group, band, key)
+    sizes = {(x[group], x[band]): x["n"] for x in rows.groupBy(group, band).agg(F.count("*").alias("n")).collect()}
+    w = Window.partitionBy(group, band).orderBy("_h", key)
+    first = rows.withColumn("_h", seeded_order(key, seed)).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= 2 * total)
+    keys: dict[tuple, list] = {}
+    for x in first.select(group, band, key, "_k").orderBy(group, band, "_k").collect():
+        keys.setdefault((x[group], x[band]), []).append(x[key])
+    r, classes = random.Random(seed), sorted(sizes)
+    near = [(x, y) for i, x in enumerate(classes) for y in classes[i:] if abs(x[1] - y[1]) <= width]
+    whole: dict[str, int] = {}
+    for (g, _), n in sizes.items():
+        whole[g] = whole.get(g, 0) + n
+    used: dict[tuple, int] = {}
+    seen: set = set()
+    got: list[tuple[tuple, tuple]] = []
+    for g, wanted in sorted(quotas(whole, total).items()):
+        got += _draw(sizes, [(x, y) for x, y in near if x[0] == y[0] == g], wanted, used, seen, cap, r)
+    got = got[:total]  # more only with more groups than ``total``
+    got += _draw(sizes, near, total - len(got), used, seen, cap, r)
+    named: dict[tuple, object] = {}  # places are named as they come up, by the next key of their class
+    taken: dict[tuple, int] = {}
+    out = []
+    for pair in got:
+        for place in pair:
+            if place not in named:
+                c = place[0]
+                named[place], taken[c] = keys[c][taken.get(c, 0)], taken.get(c, 0) + 1
+        a, b = sorted(named[x] for x in pair)
+        out.append((a, b, pair[0][0][0] if pair[0][0][0] == pair[1][0][0] else None))
+    kinds = dict(rows.dtypes)
+    return df.sparkSession.createDataFrame(out, f"a {kinds[key]}, b {kinds[key]}, {group} {kinds[group]}")
+
+
 def capped_pairs(pairs: DataFrame, cap: int = 5, seed: int = 42) -> DataFrame:
     """Pairs ``a, b`` that are among the first ``cap`` of both of their documents in seeded order, so none is used more often."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("a"), F.lit("|"), F.col("b")), 256)

@@ -374,12 +374,12 @@ def _families(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pair_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return joins.band_pairs(_families(spark, d), "family", "bucket", "id")
+    return joins.band_classes(_families(spark, d), "family", "bucket", "id")
 
 
 @query()
 def pair_capped(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.capped_pairs(pair_candidates(spark, d))
+    return sampling.drawn_pairs(_families(spark, d), "family", "bucket", "id")
 
 
 @query()

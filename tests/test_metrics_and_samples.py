@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siktverk.operators import metrics, sampling
+from siktverk.operators import joins, metrics, sampling
 
 sizes = st.dictionaries(st.integers(0, 20), st.integers(1, 60), min_size=1, max_size=8)
 
@@ -67,6 +67,21 @@ def test_pairs_are_capped_and_calibrated(spark):
     assert {(r["a"], r["b"], r["same_family"]) for r in rows} == {("w1", "b1", True), ("w2", "b2", False)}
 
 
+def test_pairs_are_drawn_from_the_full_relation(spark):
+    rows = [(f"d{i}", "big", i % 4) for i in range(700)] + [(f"s{i}", "small", i) for i in range(3)] + [("x", "alone", 2)]
+    df = spark.createDataFrame(rows, "id string, family string, bucket int")
+    label = {k: (f, b) for k, f, b in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(label), 2) if label[a][0] == label[b][0] and abs(label[a][1] - label[b][1]) <= 1}
+    assert {(r["a"], r["b"]) for r in joins.band_pairs(df, "family", "bucket", "id").collect()} == want
+    assert sum(r["partners"] for r in joins.band_classes(df, "family", "bucket", "id").collect()) == 2 * len(want)
+    got = sampling.drawn_pairs(df, "family", "bucket", "id").collect()
+    used = [d for r in got for d in (r["a"], r["b"])]
+    assert len({(r["a"], r["b"]) for r in got}) == len(got) == 99 and max(used.count(d) for d in used) <= 5
+    assert all(abs(label[r["a"]][1] - label[r["b"]][1]) <= 1 for r in got) and "small" in {r["family"] for r in got}
+    assert all((r["a"], r["b"]) in want for r in got if r["family"]) and sum(r["family"] is None for r in got) <= 1
+    assert sampling.drawn_pairs(df.limit(0), "family", "bucket", "id").count() == 0
+
+
 def test_queue(spark):
     rows = [(f"p{i}", "real", False) for i in range(99)] + [(f"q{i}", "real", True) for i in range(9)] + [(f"c{i}", "calibration_substance", False) for i in range(9)]
     df = spark.createDataFrame(rows, "pair_id string, pair_kind string, is_duplicate boolean")
