@@ -140,12 +140,14 @@ def win_loss(won: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum("w").alias("wins"), F.sum("l").alias("losses"), F.count("*").alias("n_comparisons"))
 
 
-def bradley_terry(won: DataFrame, iterations: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def bradley_terry(won: DataFrame, iterations: int = 500, tolerance: float = 1e-9) -> DataFrame:
     """``doc_id, log_odds, score01, wins, losses, n_comparisons`` by minorization-maximization on aggregated edges.
 
+    Every third update starts from a squared extrapolation of the two before (SQUAREM), which is dropped if it then moves
+    more than three times as far as the first of them. Ends after ``iterations`` updates, or when one changes no log strength by ``tolerance``.
+
     Every document also has half a win and half a loss against a ghost of strength 1 before scaling, so that documents that
-    never won or never lost stay finite. Strengths are scaled to geometric mean 1 in every round (one number reaches the
-    driver); log strengths have mean 0 in the end, ``score01`` is their min-max scale.
+    never won or never lost stay finite. A few numbers an update reach the driver; log strengths have mean 0 in the end, ``score01`` is their min-max scale.
     """
     spark = won.sparkSession
     e = edges(won)
@@ -154,24 +156,39 @@ def bradley_terry(won: DataFrame, iterations: int = 50, tolerance: float = 1e-6)
     table = win_loss(won)
     base = Steps(spark).next(table)
     steps = Steps(spark)
-    s = steps.next(base.select("doc_id", (F.col("wins") + 0.5).alias("w"), F.lit(1.0).alias("s")))
-    ghost = 1.0
-    for _ in range(iterations):
-        me, other = s.alias("me"), s.alias("other")
-        load = fixed.join(me, F.col("d") == F.col("me.doc_id")).join(other, F.col("o") == F.col("other.doc_id")).groupBy("d").agg(F.sum(F.col("n") / (F.col("me.s") + F.col("other.s"))).alias("load"))
-        total = s.agg(F.sum(1 / (F.col("s") + ghost)).alias("g"), F.count("*").alias("n")).first()
-        if not total["n"]:
+    s, g = steps.next(base.select("doc_id", (F.col("wins") + 0.5).alias("w"), F.lit(0.0).alias("x"))), 0.0
+
+    def updated(s: DataFrame, g: float, at: str, to: str) -> tuple[DataFrame, float]:
+        """Adds the update ``to`` of the log strengths ``at``; that of the ghost, whose log strength is ``g``."""
+        one, other = s.select("doc_id", F.exp(at).alias("s")).alias("one"), s.select("doc_id", F.exp(at).alias("s")).alias("other")
+        load = fixed.join(one, F.col("d") == F.col("one.doc_id")).join(other, F.col("o") == F.col("other.doc_id")).groupBy("d").agg(F.sum(F.col("n") / (F.col("one.s") + F.col("other.s"))).alias("load"))
+        ghost = 1 / (F.exp(at) + math.exp(g))
+        new = s.join(load, F.col("doc_id") == F.col("d"), "left").select(*s.columns, F.log(F.col("w") / (F.coalesce("load", F.lit(0.0)) + ghost)).alias(to), ghost.alias(f"ghost_{to}"))
+        new = steps.next(new)
+        total = new.agg(F.sum(f"ghost_{to}").alias("g"), F.count("*").alias("n")).first()
+        return new.drop(f"ghost_{to}"), math.log(0.5 * total["n"] / total["g"]) if total["n"] else g
+
+    done = 0
+    while done < iterations:
+        s, ga = updated(s, g, "x", "a")
+        s, gb = updated(s, ga, "a", "b")
+        done += 2
+        r, v = F.col("a") - F.col("x"), F.col("b") - 2 * F.col("a") + F.col("x")
+        got = s.agg(F.sum(r * r).alias("r"), F.sum(v * v).alias("v"), F.max(F.abs(r)).alias("far"), F.max(F.abs(F.col("b") - F.col("a"))).alias("near")).first()
+        if got["far"] is None or got["near"] < tolerance or done >= iterations:
+            s = s.select("doc_id", "w", F.col("b").alias("x"))
             break
-        raw = s.join(load, F.col("doc_id") == F.col("d"), "left").select("doc_id", "w", F.col("s").alias("old"), (F.col("w") / (F.coalesce("load", F.lit(0.0)) + 1 / (F.col("s") + ghost))).alias("s"))
-        new = steps.next(raw)
-        own = 0.5 * total["n"] / total["g"]
-        mean = (new.agg(F.sum(F.log("s")).alias("x")).first()["x"] + math.log(own)) / (total["n"] + 1)
-        scale = math.exp(-mean)
-        moved = new.agg(F.max(F.abs(F.col("s") * scale - F.col("old"))).alias("m")).first()["m"]
-        s, ghost = new.select("doc_id", "w", (F.col("s") * scale).alias("s")), own * scale
-        if moved < tolerance:
+        rg, vg = ga - g, gb - 2 * ga + g
+        step = max(1.0, math.sqrt((got["r"] + rg * rg) / max(got["v"] + vg * vg, 1e-300)))
+        gy = g + 2 * step * rg + step * step * vg
+        s, gz = updated(s.select("doc_id", "w", "b", (F.col("x") + 2 * step * r + step * step * v).alias("y")), gy, "y", "z")
+        done += 1
+        moved = s.agg(F.max(F.abs(F.col("z") - F.col("y"))).alias("m")).first()["m"]
+        keep = moved is not None and moved <= 3 * got["far"]
+        s, g = s.select("doc_id", "w", F.col("z" if keep else "b").alias("x")), gz if keep else gb
+        if keep and moved < tolerance:
             break
-    logs = s.select("doc_id", F.log("s").alias("x"))
+    logs = s.select("doc_id", "x")
     r = logs.agg(F.avg("x").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     out = logs.crossJoin(F.broadcast(r)).join(base, "doc_id")  # r is one row
     return out.select("doc_id", F.round(F.col("x") - F.col("m"), 4).alias("log_odds"), F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")).alias("score01"), "wins", "losses", "n_comparisons")

@@ -497,7 +497,7 @@ def win_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bt_scores(spark: SparkSession, d: str) -> DataFrame:
-    return preference.bradley_terry(_won(spark, d), 25)
+    return preference.bradley_terry(_won(spark, d))
 
 
 # The judge.

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def test_bradley_terry(study, spark):
     assert preference.bradley_terry(chain.limit(0), 5).count() == 0
 
 
+def test_bradley_terry_converges(spark):
+    """A chain of unequal outcomes, against 5,000 plain updates."""
+    games = {(i, i + 1): 9 for i in range(4)} | {(i + 1, i): 1 for i in range(4)}
+    x = [1.0] * 6  # the last is the ghost
+    for _ in range(5000):
+        new = [(0.5 + sum(n for (a, _), n in games.items() if a == i)) / (1 / (x[i] + x[5]) + sum(n / (x[a] + x[b]) for (a, b), n in games.items() if i in (a, b))) for i in range(5)]
+        new.append(2.5 / sum(1 / (v + x[5]) for v in x[:5]))
+        x = [v / math.prod(new) ** (1 / 6) for v in new]
+    logs = [math.log(v) for v in x[:5]]
+    won = spark.createDataFrame([(f"d{a}", f"d{b}") for (a, b), n in games.items() for _ in range(n)], "winner string, loser string")
+    got = {r["doc_id"]: r["log_odds"] for r in preference.bradley_terry(won).collect()}
+    assert all(abs(got[f"d{i}"] - (logs[i] - sum(logs) / 5)) < 1e-3 for i in range(5))
+
+
 @pytest.mark.parametrize(
     ("raw", "expected"),
     [
