@@ -111,8 +111,7 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def p5_report(spark: SparkSession, directory: str) -> DataFrame:
-    found = _overlap(spark, directory)
-    return found.report(found.pairs())
+    return _overlap(spark, directory).report()
 
 
 def _outcomes(spark: SparkSession, directory: str) -> DataFrame:

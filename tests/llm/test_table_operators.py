@@ -183,32 +183,75 @@ def test_overlap_against_brute_force(spark):
     # texts of one template that differ in a fifth of their words by chance are found in 99 of 100 cases, as the README says
     planted = {p for p in want if p[1] == p[0] + 1}
     assert planted <= got and len(want - got) <= 2
-    report = found.report(pairs).collect()
+    report = found.report().collect()
+    assert sum(x["links"] for x in report) == len(got)
     assert sum(x["overlapping"] for x in report) == len({p for pair in got for p in pair if rows[p][2] != "train"})
     assert overlap.Overlap(df.limit(0)).pairs().count() == 0
 
 
-def test_misspelt_words_in_a_large_corpus():
-    import numpy as np
+def large_corpus(r, texts):
+    """Counts of a corpus of so many texts of 50 words, and 400 of its texts."""
     import xxhash
 
-    r = random.Random(8)
-    n, vocabulary = 250_000, [f"word{k}" for k in range(20_000)]
-    share = [1 / (k + 3) for k in range(len(vocabulary))]
-    counters = np.zeros(overlap.COUNTERS, dtype=np.int64)
+    vocabulary = [f"word{k}" for k in range(20_000)]
+    share = np.array([1 / (k + 3) for k in range(len(vocabulary))])
+    share /= share.sum()
+    slots = overlap.Counts.size(texts * 50)
+    words = np.zeros(slots, dtype=np.int64)
     for w, x in zip(vocabulary, share):
-        counters[xxhash.xxh64_intdigest(w.encode(), 42) & overlap.COUNTERS - 1] += int(n * min(0.9, 5 * x)) + 1
-    one = [r.choices(vocabulary, share, k=50) for _ in range(400)]
+        words[xxhash.xxh64_intdigest(w.encode(), 42) & slots - 1] += int(texts * 50 * x) + 1
+    pairs = np.full(slots, texts * 50 // slots + 1, dtype=np.int64)  # as many words after each other by chance
+    return overlap.Counts(words, pairs, texts * 50), [r.choices(vocabulary, share, k=50) for _ in range(400)]
+
+
+@pytest.mark.parametrize("texts", [250_000, 1_000_000_000])
+@pytest.mark.parametrize("kept, altered", [(50, 10), (30, 4)])
+def test_recall_of_altered_and_cut_texts_does_not_fall_with_the_corpus(texts, kept, altered):
+    r = random.Random(8)
+    counts, one = large_corpus(r, texts)
     two = []
     for words in one:
-        v = list(words)
-        for p in r.sample(range(50), 10):
+        v = words[:kept]
+        for p in r.sample(range(kept), altered):
             v[p] = f"{v[p]}{r.choice('xyz')}{r.randrange(10**6)}"
         two.append(v)
-    coder = overlap.Coder(counters, n)
-    held = {(t, k): c for t, k, c in zip(*coder.encode(one))}
-    found = {t for t, k, c in zip(*coder.encode(two)) if (t, k) in held and sum(int(x).bit_count() for x in c ^ held[t, k]) <= overlap.RADIUS}
-    assert all(overlap.alike(a, b) for a, b in zip(one, two)) and len(found) >= 0.97 * len(one)
+    coder = overlap.Coder(counts)
+    at, keys, codes, _ = coder.encode(one)
+    held = {(t, k): c for t, k, c in zip(at, keys, codes)}
+    at, keys, codes, _ = coder.encode(two)
+    found = {t for t, k, c in zip(at, keys, codes) if (t, k) in held and sum(int(x).bit_count() for x in c ^ held[t, k]) <= overlap.RADIUS}
+    assert all(overlap.alike(a, b) for a, b in zip(one, two)) and len(found) >= 0.95 * len(one)
+
+
+def test_hot_blocks_are_split(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 50)
+    r = random.Random(4)
+    head = " ".join(f"letterhead{k} office" for k in range(12))
+    form = [f"field{k}" for k in range(40)]
+    rows = []
+    for k in range(40):
+        body = " ".join(f"w{r.randrange(400)}" for _ in range(50))
+        rows.append((f"h{k}", "train" if k % 2 else "test", f"{head} {body}"))
+        v = list(form)
+        v[r.randrange(40)] = f"name{k}"
+        rows.append((f"f{k}", "train" if k % 2 else "test", " ".join(v)))
+        if k % 10 == 0:
+            rows.append((f"c{k}", "train", f"{head} {body} more"))
+    df = spark.createDataFrame([(i, a, b, "s", c) for i, (a, b, c) in enumerate(rows)], "match_no bigint, id string, split string, source string, excerpt string")
+    got = {tuple(x) for x in overlap.Overlap(df).pairs().collect()}
+    words = [c.split() for _, _, c in rows]
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (rows[i][1] == "train") != (rows[j][1] == "train") and overlap.alike(words[i], words[j])}
+    assert len(want) > 400 and got <= want and len(want - got) <= 0.02 * len(want)
+
+
+def test_very_long_texts_are_encoded_in_slices():
+    r = random.Random(2)
+    counts, _ = large_corpus(r, 10_000)
+    coder = overlap.Coder(counts)
+    long = [f"word{r.randrange(20_000)}" for _ in range(70_000)]
+    one, two = coder.encode([long]), coder.encode([long[:60_000]])
+    first = {(k, *c) for k, c in zip(one[1], one[2])}
+    assert len(two[1]) > 20_000 and all((k, *c) in first for k, c in list(zip(two[1], two[2]))[:-20])
 
 
 def test_common_subsequence():
