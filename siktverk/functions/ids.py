@@ -54,3 +54,15 @@ def hash_key(c: Column | str) -> Column:
 def seeded_order(c: Column | str, seed: int) -> Column:
     """Hex key for a reproducible shuffle; depends on the seed and the id alone."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), _col(c)), 256)
+
+
+def named_uuid(c: Column | str) -> Column:
+    """A UUID made from a name: equal names give equal ids, so that a repeated run gives the same rows."""
+    h = F.sha2(_col(c), 256)
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
+
+
+def random_uuid() -> Column:
+    """A random UUID, another one in every run."""
+    return F.uuid()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +38,29 @@ def parsed_score(raw: Column | str, axis: str) -> Column:
 def combined_score(education: Column | str, quality: Column | str) -> Column:
     """Mean of both axes; null if either is."""
     return (_col(education) + _col(quality)) / 2
+
+
+def parse_scores(raw: str | None) -> tuple[float | None, float | None]:
+    """:func:`parsed_score` of both axes for one answer, where a call has to know whether to ask again."""
+    text = (raw or "").strip()
+    read: list[dict] = []
+    for part in [*re.findall(r"\{[^{}]*\}", text), text]:
+        try:
+            if isinstance(x := json.loads(part), dict):
+                read.append(x)
+        except ValueError:
+            pass
+
+    def number(x: object) -> float | None:
+        try:
+            return None if x is None or isinstance(x, bool) else min(max(float(x), 0.0), 1.0)
+        except (TypeError, ValueError):
+            return None
+
+    out = []
+    for axis in AXES:
+        value = next((v for x in read if (v := number(x.get(axis))) is not None), None)
+        if value is None and (m := re.search(axis.replace("_", r"[_\s]*") + r"['\"]?\s*[:=]\s*" + _NUMBER, text, re.I)):
+            value = number(m[1])
+        out.append(value)
+    return out[0], out[1]

@@ -5,10 +5,16 @@ Tables of scores to be compared have ``method, doc_id, score, gold``; ranks are
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siktverk.operators.ordering import numbered_within, running_counts
+from siktverk.operators.ordering import numbered, numbered_within, quantiles, running_counts
+from siktverk.sources.durable import durable
 
 
 def relevance_bin(c: Column | str, bins: int = 8) -> Column:
@@ -49,8 +55,9 @@ def bundle(df: DataFrame, percentiles: tuple[float, ...] = (1, 5, 10, 20, 30), k
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, min, max, mean, population standard deviation and linear quartiles."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(column).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.get(q, F.lit(0)).alias("q25"), F.get(q, F.lit(1)).alias("q50"), F.get(q, F.lit(2)).alias("q75"))
+    ends = df.agg(F.count(column).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    middle = quantiles(df.select(F.lit("all").alias("g"), column), "g", column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return ends.crossJoin(middle.agg(*[F.max(q).alias(q) for q in ("q25", "q50", "q75")]))  # one row each
 
 
 def bin_histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
@@ -70,22 +77,156 @@ def spearman_average(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_ranks(average_ranks(both, x, "_rx"), y, "_ry").agg(guarded_corr("_rx", "_ry").alias("spearman"))
 
 
+#: Bits of a digit in the count of ordered pairs, and rows that are compared with each other at a time.
+_DIGIT, _BLOCK = 10, 512
+
+
+def _rising(digits: np.ndarray, n: np.ndarray, held: np.ndarray) -> int:
+    """Weighted pairs of rows, the first of them before the second or in the histogram ``held``, whose digits rise; adds the rows to ``held``."""
+    got = 0
+    for k in range(0, len(digits), _BLOCK):
+        d, w = digits[k : k + _BLOCK], n[k : k + _BLOCK]
+        below = np.concatenate([[0], np.cumsum(held)[:-1]])
+        inside = np.triu(d[:, None] < d[None, :], 1)
+        got += int((below[d] * w).sum()) + int(((inside * w[:, None]).sum(axis=0) * w).sum())
+        held += np.bincount(d, w, len(held)).astype(np.int64)
+    return got
+
+
+def _digit_pairs(cells: DataFrame, shift: int) -> int:
+    """Pairs of rows, the first before the second by (x, y), whose y agree above ``shift + _DIGIT`` bits and rise in the digit there.
+
+    Rows are range-partitioned by (prefix, x, y). Each task sends the digit histograms of its first and last prefix to the driver,
+    8 KB each, and is given back what stands before its first row; only a prefix can reach beyond a partition.
+    """
+    spark = cells.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefix = F.shiftright("y", shift + _DIGIT)
+    rows = cells.select(prefix.alias("p"), "x", "y", F.shiftright("y", shift).bitwiseAND((1 << _DIGIT) - 1).cast("int").alias("d"), "n")
+    ranged = durable(rows.repartitionByRange(parts, "p", "x", "y").sortWithinPartitions("p", "x", "y").withColumn("part", F.spark_partition_id()).select("part", "p", "d", "n"))
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = part = None
+        a, b = np.zeros(1 << _DIGIT, dtype=np.int64), np.zeros(1 << _DIGIT, dtype=np.int64)
+        for batch in batches:
+            p, d, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            if not len(p):
+                continue
+            if part is None:
+                part, first = batch.column(0)[0].as_py(), p[0]
+            a += np.bincount(d[p == first], n[p == first], len(a)).astype(np.int64)
+            if p[-1] != last:
+                last, b = p[-1], np.zeros_like(b)
+            b += np.bincount(d[p == last], n[p == last], len(b)).astype(np.int64)
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64()), "a": pa.array([a.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary())})
+
+    before: dict[int, tuple[int, np.ndarray]] = {}
+    open_, held = None, np.zeros(1 << _DIGIT, dtype=np.int64)
+    for r in sorted(ranged.mapInArrow(ends, "part int, first bigint, last bigint, a binary, b binary").collect(), key=lambda r: r["part"]):
+        if open_ == r["first"]:
+            before[r["part"]] = (r["first"], held.copy())
+        if r["first"] == r["last"]:
+            held = (held if open_ == r["first"] else 0) + np.frombuffer(r["a"], dtype=np.int64)
+        else:
+            held = np.frombuffer(r["b"], dtype=np.int64).copy()
+        open_ = r["last"]
+    given = spark.sparkContext.broadcast(before)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, open_, held = 0, None, np.zeros(1 << _DIGIT, dtype=np.int64)
+        started = False
+        for batch in batches:
+            p, d, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            if not len(p):
+                continue
+            if not started:
+                started = True
+                open_, held = given.value.get(batch.column(0)[0].as_py(), (p[0], held))
+                held = held.copy()
+            edges = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]]))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if p[lo] != open_:
+                    open_, held = p[lo], np.zeros_like(held)
+                got += _rising(d[lo:hi], n[lo:hi].astype(np.int64), held)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([str(got)], pa.string())})
+
+    return sum(int(r["n"]) for r in ranged.mapInArrow(count, "n string").collect())
+
+
 def kendall_b(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``concordant, discordant, ties_x, ties_y, tau_b`` from the table of distinct (x, y) pairs with counts.
+    """``n, concordant, discordant, ties_x, ties_y, tau_b, p_value`` of rows with both values; the p-value is two-sided, by the normal approximation.
 
-    The self-join is over distinct values (grades on a grid), not over rows, so groups of equal rows do not multiply.
+    Pairs that rise together are counted without being formed: values of y are replaced by ranks, and for each digit of the ranks
+    rows of equal higher digits are taken in the order of x with a running histogram of the digit. A pair counts at the one digit
+    where its ranks part. Equal rows are one cell with a count.
     """
-    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    pair = a.join(b, F.col("a.x") < F.col("b.x")).agg(
-        F.sum(F.when(F.col("a.y") < F.col("b.y"), F.col("a.n") * F.col("b.n")).otherwise(0.0)).alias("c"), F.sum(F.when(F.col("a.y") > F.col("b.y"), F.col("a.n") * F.col("b.n")).otherwise(0.0)).alias("d")
-    )
-    ties = lambda k: cells.groupBy(k).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{k}"))
-    total = cells.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("p"))
-    s = pair.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(total)  # one row each
-    c, d = F.coalesce("c", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
-    scale = F.sqrt((F.col("p") - F.col("tx")) * (F.col("p") - F.col("ty")))
-    return s.select(c.alias("concordant"), d.alias("discordant"), F.col("tx").alias("ties_x"), F.col("ty").alias("ties_y"), F.try_divide(c - d, scale).alias("tau_b"))
+    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    values = cells.groupBy(F.lit("all").alias("g"), "v").agg(F.sum("n").alias("m"))
+    ranks = running_counts(values, "g", "v", "m").select("v", F.col("before").alias("y"))
+    held = durable(cells.join(ranks, "v").select("x", "y", "n"))
+    total = int(held.agg(F.sum("n")).first()[0] or 0)
+    rising = sum(_digit_pairs(held, s) for s in range(0, max(1, total).bit_length(), _DIGIT)) if total > 1 else 0
+
+    def ties(*keys: str) -> tuple[int, int, int]:
+        n = F.col("n").cast("decimal(20,0)")
+        r = held.groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.sum(n * (n - 1)).alias("a"), F.sum(n.cast("double") * (F.col("n") - 1) * (F.col("n") - 2)).alias("b"), F.sum(n.cast("double") * (F.col("n") - 1) * (2 * F.col("n") + 5)).alias("c")).first()
+        return int(r["a"] or 0) // 2, float(r["b"] or 0), float(r["c"] or 0)
+
+    (tx, bx, cx), (ty, by, cy), (both, _, _) = ties("x"), ties("y"), ties("x", "y")
+    pairs = total * (total - 1) // 2
+    concordant = rising - (tx - both)  # pairs of equal x stand in the order of y
+    discordant = pairs - tx - ty + both - concordant
+    scale = math.sqrt(float(pairs - tx) * float(pairs - ty))
+    tau = (concordant - discordant) / scale if scale else None
+    p = None
+    if tau is not None:
+        m = float(total) * (total - 1)
+        variance = (m * (2 * total + 5) - cx - cy) / 18 + 4.0 * tx * ty / (2 * m) + (bx * by / (9 * m * (total - 2)) if total > 2 else 0)
+        p = math.erfc(abs(concordant - discordant) / math.sqrt(2 * variance)) if variance > 0 else None
+    return df.sparkSession.createDataFrame([(total, float(concordant), float(discordant), float(tx), float(ty), tau, p)], "n bigint, concordant double, discordant double, ties_x double, ties_y double, tau_b double, p_value double")
+
+
+def student_p(r: float | None, n: int) -> float | None:
+    """Two-sided p-value of a correlation ``r`` of ``n`` rows under independence, by the t distribution with n - 2 degrees of freedom."""
+    if r is None or n < 3:
+        return None
+    if abs(r) >= 1:
+        return 0.0
+    return _beta(1 - r * r, (n - 2) / 2, 0.5)
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    """Regularized incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    tiny = 1e-300
+    value, c, d = tiny, tiny, 0.0
+    for k in range(500):  # modified Lentz evaluation
+        m = k // 2
+        term = 1.0 if not k else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 + term * d
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = 1 + term / c
+        c = c if abs(c) > tiny else tiny
+        value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * value
+
+
+def correlation_tests(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``method, n, statistic, p_value`` (two-sided) for Pearson, Spearman (average ranks) and Kendall's tau-b."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n = both.count()
+    pearson = both.agg(guarded_corr(x, y).alias("r")).first()["r"]
+    spearman = spearman_average(both, x, y).first()["spearman"]
+    tau = kendall_b(both, x, y).first()
+    rows = [("pearson", n, pearson, student_p(pearson, n)), ("spearman", n, spearman, student_p(spearman, n)), ("kendall", n, tau["tau_b"], tau["p_value"])]
+    return df.sparkSession.createDataFrame(rows, "method string, n bigint, statistic double, p_value double")
 
 
 def _tail(z: Column) -> Column:
@@ -131,13 +272,16 @@ def unit_histogram(df: DataFrame, column: str, bins: int = 25) -> DataFrame:
 
 
 def topk_overlap(df: DataFrame, x: str, y: str, share: float = 0.1, key: str = "doc_id") -> DataFrame:
-    """``n, k, top_overlap, top_jaccard, bottom_overlap, bottom_jaccard`` of the k = max(1, share n) best and worst by x and y."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """``n, k, top_overlap, top_jaccard, bottom_overlap, bottom_jaccard`` of the k = max(1, share n) best and worst by x and y.
+
+    k grows with the rows, so both ends are cut by distributed positions, not by a limit.
+    """
+    both = durable(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y))
     n = both.count()
     k = max(1, int(share * n))
 
     def picked(c: str, down: bool) -> DataFrame:
-        return both.orderBy(F.desc(c) if down else F.asc(c), key).limit(k).select(key)  # a top-k, not a global sort
+        return numbered(both.select(key, c), [F.desc(c) if down else F.asc(c), F.asc(key)], "_at").filter(F.col("_at") <= k).select(key)
 
     def shared(down: bool) -> DataFrame:
         return picked(x, down).join(picked(y, down), key).agg(F.count("*").alias("s"))
@@ -147,6 +291,13 @@ def topk_overlap(df: DataFrame, x: str, y: str, share: float = 0.1, key: str = "
     return row.select(F.lit(n).cast("bigint").alias("n"), F.lit(k).cast("bigint").alias("k"), F.col("t").alias("top_overlap"), j("t").alias("top_jaccard"), F.col("s").alias("bottom_overlap"), j("s").alias("bottom_jaccard"))
 
 
+def pool_comparison(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group: ``n``, mean, median, sample standard deviation, min and max of the value; nulls are left out."""
+    rows = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
+    ends = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return ends.join(quantiles(rows, group, value, {"median": 0.5}), group).select(group, "n", "mean", "median", "std", "min", "max")
+
+
 def latin_share(c: Column | str) -> Column:
     """Share of Latin among the letters of a text; null without letters."""
     text = F.col(c) if isinstance(c, str) else c

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siktverk.functions.domains import SAMPLER, ordinal
 from siktverk.functions.ids import bare_id
+from siktverk.operators.ordering import quantiles
 from siktverk.sources.durable import Steps
 
 CHOICES = ("a_much", "a_slight", "b_slight", "b_much")
@@ -92,8 +93,10 @@ def inter_rater(responses: DataFrame) -> DataFrame:
 
 def timing(responses: DataFrame) -> DataFrame:
     """Per rater: answers with a time, median, p90 (linear), least and largest ``time_ms`` of answers not skipped."""
-    r = cleaned(responses).filter(~F.col("skipped") & F.col("time_ms").isNotNull())
-    return r.groupBy("rater_name").agg(F.count("*").alias("n"), F.percentile("time_ms", F.lit(0.5)).alias("median_ms"), F.percentile("time_ms", F.lit(0.9)).alias("p90_ms"), F.min("time_ms").alias("min_ms"), F.max("time_ms").alias("max_ms"))
+    r = cleaned(responses).filter(~F.col("skipped") & F.col("time_ms").isNotNull() & F.col("rater_name").isNotNull()).select("rater_name", "time_ms")
+    ends = r.groupBy("rater_name").agg(F.count("*").alias("n"), F.min("time_ms").alias("min_ms"), F.max("time_ms").alias("max_ms"))
+    middle = quantiles(r, "rater_name", "time_ms", {"median_ms": 0.5, "p90_ms": 0.9})
+    return ends.join(middle, "rater_name").select("rater_name", "n", "median_ms", "p90_ms", "min_ms", "max_ms")
 
 
 def calibration(responses: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -106,24 +109,47 @@ def calibration(responses: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", F.col("correct") / F.col("total"))
 
 
-def dashboard(responses: DataFrame) -> DataFrame:
-    """Per rater: totals by kind, mean time, choice counts, divergence."""
+def dashboard(responses: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per rater: totals by kind, mean time, accuracy on both kinds of calibration pairs (null without any), choice counts, divergence."""
     r = cleaned(responses)
     done = ~F.col("skipped")
     kind, again = F.col("pair_kind"), F.coalesce(F.col("is_duplicate") == 1, F.lit(False))
     both = done & F.col("readability_choice").isNotNull() & F.col("substance_choice").isNotNull()
     choices = [F.count_if(done & (F.col(f"{axis}_choice") == c)).alias(f"{axis}_{c}") for axis in ("readability", "substance") for c in CHOICES]
-    return r.groupBy("rater_name").agg(
+    board = r.groupBy("rater_name").agg(
         F.count("*").alias("total"), F.count_if("skipped").alias("skipped"), F.count_if(done & (kind == "real") & ~again).alias("real_count"), F.count_if(done & again).alias("repeat_count"),
         F.count_if(done & (kind == "calibration_readability")).alias("cal_read_count"), F.count_if(done & (kind == "calibration_substance")).alias("cal_sub_count"), F.avg(F.when(done, F.col("time_ms"))).alias("mean_time_ms"),
         *choices, F.count_if(both).alias("both_answered"), F.count_if(both & (F.substring("readability_choice", 1, 1) != F.substring("substance_choice", 1, 1))).alias("diverged"),
     )
+    right = lambda k: F.max(F.when(F.col("pair_kind") == k, F.col("accuracy")))
+    accuracy = calibration(responses, pairs).groupBy("rater_name").agg(right("calibration_readability").alias("cal_read_accuracy"), right("calibration_substance").alias("cal_sub_accuracy"))
+    return board.join(accuracy, "rater_name", "left")
+
+
+def display_sides(responses: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``response_id, pair_id, display_a_id, display_b_id``: which document of the pair stood on which side; null sides show b first."""
+    known = unique_pairs(pairs).select("pair_id", "doc_a_id", "doc_b_id")
+    left = F.col("side_assignment") == "a_left"
+    shown = lambda x, y: F.when(left, F.col(f"doc_{x}_id")).otherwise(F.col(f"doc_{y}_id"))
+    return cleaned(responses).select("response_id", "pair_id", "side_assignment").join(known, "pair_id").select("response_id", "pair_id", shown("a", "b").alias("display_a_id"), shown("b", "a").alias("display_b_id"))
+
+
+def next_tasks(assignments: DataFrame, responses: DataFrame) -> DataFrame:
+    """``rater_name, queue_position, pair_id``: the first pair of each rater's queue without a response; a skipped pair has one.
+
+    Raters whose queue is done are left out. Names are taken in lower case without surrounding blanks.
+    """
+    name = F.lower(F.regexp_replace("rater_name", r"^\s+|\s+$", "")).alias("rater_name")
+    queue = assignments.select(name, "pair_id", "queue_position").na.drop()
+    done = responses.select(name, "pair_id").na.drop().distinct()
+    left = queue.join(done, ["rater_name", "pair_id"], "left_anti")
+    return left.groupBy("rater_name").agg(F.min("queue_position").alias("queue_position"), F.min_by("pair_id", F.struct("queue_position", "pair_id")).alias("pair_id"))
 
 
 def outcomes(responses: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``winner, loser``: two outcomes of each answered, not skipped response to a known pair, one an axis."""
+    """``winner, loser``: an outcome of each axis that a not skipped response to a known real pair answers; one answered axis counts alone."""
     known = unique_pairs(pairs).select("pair_id", "doc_a_id", "doc_b_id")
-    r = cleaned(responses).filter(~F.col("skipped") & F.col("readability_choice").isNotNull() & F.col("substance_choice").isNotNull()).join(known, "pair_id")
+    r = cleaned(responses).filter(~F.col("skipped") & (F.col("pair_kind") == "real")).join(known, "pair_id")
     picks = r.select("doc_a_id", "doc_b_id", F.explode(F.array(chosen("readability_choice", "side_assignment"), chosen("substance_choice", "side_assignment"))).alias("pick"))
     a = F.col("pick") == "a"
     return picks.filter("pick is not null").select(F.when(a, F.col("doc_a_id")).otherwise(F.col("doc_b_id")).alias("winner"), F.when(a, F.col("doc_b_id")).otherwise(F.col("doc_a_id")).alias("loser"))

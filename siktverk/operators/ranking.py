@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siktverk.operators.features import FEATURES, add_dedup_features, add_interactions, hard_filter, nearest_rank_stats, normalize, to_features
@@ -67,13 +67,12 @@ def prototype_l2() -> Column:
 
 
 def rank_l2(df: DataFrame, k: int, m: float, mode: str = "prototype", score: Column | None = None) -> DataFrame:
-    """Adds ``score_l2, rank_l2, in_top_k``. The second stage sees the best m*k rows, so its window is bounded by them."""
+    """Adds ``score_l2, rank_l2, in_top_k``. The second stage sees the best m*k rows, ranked without a window over all of them."""
     if mode == "disabled":
         return df.withColumns({"rank_l2": F.lit(None).cast("bigint"), "score_l2": F.lit(None).cast("double"), "in_top_k": F.coalesce(F.col("rank_l1") <= k, F.lit(False))})
     chosen = F.coalesce(F.col("rank_l1") <= int(m * k), F.lit(False))
     scored = df.withColumn("score_l2", F.when(chosen, prototype_l2() if score is None else score))
-    order = Window.orderBy(F.desc("score_l2"), F.asc("doc_id"))
-    best = scored.filter(chosen).withColumn("rank_l2", F.row_number().over(order).cast("bigint"))
+    best = numbered(scored.filter(chosen), [F.desc("score_l2"), F.asc("doc_id")], "rank_l2")
     rest = scored.filter(~chosen).withColumn("rank_l2", F.lit(None).cast("bigint"))
     return best.unionByName(rest).withColumn("in_top_k", F.coalesce(F.col("rank_l2") <= k, F.lit(False)))
 
@@ -92,6 +91,13 @@ def report(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_if("passed_hard_filter").alias("passed"), F.count_if("in_top_k").alias("top_k"))
 
 
+def head_and_tail(df: DataFrame, score: str, key: str, n: int = 10) -> DataFrame:
+    """The ``n`` rows with the highest and the ``n`` with the lowest score, with ``end`` (head or tail); ties by ``key``. Two top-n reads."""
+    head = df.orderBy(F.desc_nulls_last(score), key).limit(n).withColumn("end", F.lit("head"))
+    tail = df.orderBy(F.asc_nulls_last(score), F.desc(key)).limit(n).withColumn("end", F.lit("tail"))
+    return head.unionByName(tail)
+
+
 def lexicographic(df: DataFrame, columns: list[str], name: str = "score") -> DataFrame:
     """Score n - position of a descending sort by several columns, nulls last; the last column breaks ties."""
     keys = [F.desc_nulls_last(c) for c in columns]

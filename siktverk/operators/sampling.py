@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siktverk.functions.domains import SAMPLER, coerced_ordinal, ordinal
-from siktverk.functions.ids import seeded_order
+from siktverk.functions.ids import named_uuid, seeded_order
 from siktverk.operators.joins import band_members
+from siktverk.operators.ordering import running_counts
 
 
 def with_strata(df: DataFrame, id_column: str = "id") -> DataFrame:
@@ -18,52 +19,44 @@ def with_strata(df: DataFrame, id_column: str = "id") -> DataFrame:
     return out.filter(F.col(id_column).isNotNull() & F.col("edu_ord").isNotNull() & F.col("quality_ord").isNotNull())
 
 
-def allocate_uniform(sizes: dict, wanted: int) -> dict:
-    """Equal shares by water filling: what a small stratum cannot give is shared by the others, in key order."""
-    wanted = min(wanted, sum(sizes.values()))
-    given = dict.fromkeys(sizes, 0)
-    while (left := wanted - sum(given.values())) > 0:
-        open_ = sorted(k for k in sizes if given[k] < sizes[k])
-        share = max(1, left // len(open_))
-        for k in open_:
-            step = min(share, sizes[k] - given[k], left)
-            given[k] += step
-            left -= step
-    return given
-
-
-def allocate_proportional(sizes: dict, wanted: int, least: int = 2) -> dict:
-    """At least ``least`` a stratum (largest first), the rest in proportion to what is left of each, remainders to the largest."""
-    wanted = min(wanted, sum(sizes.values()))
-    given = dict.fromkeys(sizes, 0)
-    left = wanted
-    for k in sorted(sizes, key=lambda k: (-sizes[k], k)):
-        given[k] = min(least, sizes[k], left)
-        left -= given[k]
-    while left > 0:
-        room = {k: sizes[k] - given[k] for k in sorted(sizes) if sizes[k] > given[k]}
-        total, start = sum(room.values()), left
-        for k, r in room.items():
-            step = min(r, start * r // total, left)
-            given[k] += step
-            left -= step
-        if left == start:
-            for k in sorted(room, key=lambda k: (-room[k], k))[:left]:
-                given[k] += 1
-                left -= 1
-    return given
+def allocation(sizes: DataFrame, strata: list[str], wanted: int, mode: str = "uniform", least: int = 2) -> DataFrame:
+    """``strata, n, given``: rows to draw from each stratum of ``sizes`` (``strata, n``), ``wanted`` in all or everything there is.
+
+    ``uniform`` fills all strata to one level, the highest that ``wanted`` allows: with the strata from small to large, the first
+    one that is larger than an even share of what the smaller ones leave sets it. Single rows left over go to the first
+    strata by key that are not empty yet. ``proportional`` gives ``least`` to each stratum, the largest first, and shares the rest
+    by what they have left, whole parts first, then single rows by the largest fraction. Windows are over the strata only.
+    """
+    whole = Window.partitionBy()
+    rows = sizes.withColumn("_w", F.least(F.lit(wanted), F.sum("n").over(whole)))
+    if mode == "uniform":
+        up = Window.orderBy("n", *strata)
+        share = F.floor((F.col("_w") - (F.sum("n").over(up) - F.col("n"))) / (F.count("*").over(whole) - F.row_number().over(up) + 1))
+        rows = rows.withColumns({"_share": share, "_at": F.row_number().over(up)})
+        level = F.min_by("_share", F.when(F.col("n") > F.col("_share"), F.col("_at"))).over(whole)
+        rows = rows.withColumn("_given", F.least("n", F.coalesce(level, F.col("n"))))
+        spare = F.col("n") > F.col("_given")
+        turn = F.sum(spare.cast("int")).over(Window.orderBy(*strata))
+        extra = F.col("_w") - F.sum("_given").over(whole)
+        return rows.select(*strata, "n", (F.col("_given") + (spare & (turn <= extra)).cast("int")).cast("bigint").alias("given"))
+    down = Window.orderBy(F.desc("n"), *strata)
+    rows = rows.withColumn("_first", F.least(F.lit(least), "n"))
+    rows = rows.withColumn("_base", F.greatest(F.lit(0), F.least("_first", F.col("_w") - F.sum("_first").over(down) + F.col("_first"))))
+    rows = rows.withColumn("_room", F.col("n") - F.col("_base")).withColumn("_left", F.col("_w") - F.sum("_base").over(whole))
+    rows = rows.withColumn("_product", F.col("_left") * F.col("_room")).withColumn("_all", F.greatest(F.sum("_room").over(whole), F.lit(1)))
+    rows = rows.withColumns({"_part": F.floor(F.col("_product") / F.col("_all")), "_rest": F.col("_product") % F.col("_all")})
+    turn = F.row_number().over(Window.orderBy(F.desc("_rest"), F.desc("n"), *strata))
+    one = (turn <= F.col("_left") - F.sum("_part").over(whole)).cast("int")
+    return rows.select(*strata, "n", (F.col("_base") + F.col("_part") + one).cast("bigint").alias("given"))
 
 
 def stratum_stats(pool: DataFrame, strata: list[str], wanted: int, mode: str = "uniform") -> DataFrame:
-    """Strata, ``pool_size, sampled, pop_frac, sample_frac, stratum_weight``. A row a stratum (25 at most) is collected."""
-    sizes = {tuple(r[s] for s in strata): r["n"] for r in pool.groupBy(*strata).agg(F.count("*").alias("n")).collect()}
-    given = (allocate_uniform if mode == "uniform" else allocate_proportional)(sizes, wanted)
-    total, drawn = sum(sizes.values()), sum(given.values())
-    rows = []
-    for k, n in sorted(sizes.items()):
-        pop, part = n / total, given[k] / drawn if drawn else 0.0
-        rows.append((*k, n, given[k], pop, part, pop / part if part else None))
-    return pool.sparkSession.createDataFrame(rows, ", ".join(f"{s} bigint" for s in strata) + ", pool_size bigint, sampled bigint, pop_frac double, sample_frac double, stratum_weight double")
+    """Strata, ``pool_size, sampled, pop_frac, sample_frac, stratum_weight`` (null where nothing is drawn), one row a stratum."""
+    given = allocation(pool.groupBy(*strata).agg(F.count("*").alias("n")), strata, wanted, mode)
+    whole = Window.partitionBy()  # over the strata only
+    pop, part = F.col("n") / F.sum("n").over(whole), F.coalesce(F.try_divide("given", F.sum("given").over(whole)), F.lit(0.0))
+    out = given.select(*strata, F.col("n").alias("pool_size"), F.col("given").alias("sampled"), pop.alias("pop_frac"), part.alias("sample_frac"))
+    return out.withColumn("stratum_weight", F.try_divide("pop_frac", "sample_frac"))
 
 
 def stratified_sample(pool: DataFrame, strata: list[str], wanted: int, mode: str = "uniform", seed: int = 42, key: str = "id") -> DataFrame:
@@ -215,6 +208,33 @@ def capped_pairs(pairs: DataFrame, cap: int = 5, seed: int = 42) -> DataFrame:
     return pairs.join(both, ["a", "b"])
 
 
+def mark_duplicates(pairs: DataFrame, n: int = 9, seed: int = 42) -> DataFrame:
+    """``pairs`` (``a, b``, once each) with ``is_duplicate``: true for the first ``n`` in seeded order, which are shown again."""
+    order = [seeded_order(F.concat_ws("|", "a", "b"), seed), F.col("a"), F.col("b")]
+    first = pairs.select("a", "b").orderBy(*order).limit(n).withColumn("is_duplicate", F.lit(True))
+    return pairs.join(F.broadcast(first), ["a", "b"], "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))  # n rows
+
+
+def pair_rows(pairs: DataFrame, documents: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """The table that raters are shown: the columns of ``pairs`` (``a, b, ...``), a ``pair_id``, and both documents' ``fields`` as ``doc_a_*`` and ``doc_b_*``.
+
+    ``text`` and ``url`` are empty strings where null. The id is made from kind and documents, so a repeated run gives the same.
+    A pair whose document is unknown is left out.
+    """
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in ("text", "url") else F.col(c)
+    side = lambda x: documents.select(F.col(key).alias(x), F.col(key).alias(f"doc_{x}_id"), *[blank(c).alias(f"doc_{x}_{c}") for c in fields])
+    named = F.concat_ws("|", *[c for c in ("pair_kind",) if c in pairs.columns], "a", "b")
+    return pairs.withColumn("pair_id", named_uuid(named)).join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+
+
+def reuse(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row ``distinct_documents, median_uses, p90_uses, max_uses``: how often pairs use a document; percentiles by position floor(q n)."""
+    uses = pairs.select(F.explode(F.array(a, b)).alias("d")).filter("d is not null").groupBy("d").agg(F.count("*").alias("u"))
+    ranked = running_counts(uses.groupBy(F.lit("all").alias("g"), "u").agg(F.count("*").alias("n")), "g", "u", "n")
+    at = lambda q: F.max(F.when((F.col("before") <= F.floor(F.col("total") * F.lit(q))) & (F.floor(F.col("total") * F.lit(q)) < F.col("before") + F.col("n")), F.col("u")))
+    return ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("distinct_documents"), at(0.5).alias("median_uses"), at(0.9).alias("p90_uses"), F.max("u").alias("max_uses"))
+
+
 def matched_calibration(df: DataFrame, worse: Column, better: Column, family: str, n: int, seed: int, key: str = "id") -> DataFrame:
     """``a`` (worse), ``b`` (better), ``same_family``: the i-th worse meets the i-th better of its family, leftovers across families.
 
@@ -262,7 +282,7 @@ def rater_queue(pairs: DataFrame, rater: str, slot: int, seed: int = 42) -> Data
     place = lambda ps: F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("i").cast("int") + 1)
     rest = plain.unionByName(repeats).select("pair_id", (F.row_number().over(Window.orderBy(own, "pair_id")) - 1).alias("i"))
     queue = calibration.select("pair_id", place(CALIBRATION_AT).alias("queue_position")).unionByName(rest.select("pair_id", place(free).alias("queue_position")))
-    side = F.when(F.xxhash64(F.lit(rater), "pair_id") % 2 == 0, "a_left").otherwise("a_right")
+    side = F.when(F.substring(own, 1, 1) < "8", "a_left").otherwise("a_right")
     return queue.select(F.lit(rater).alias("rater_name"), "queue_position", session("queue_position").alias("session_num"), "pair_id", side.alias("side_assignment"))
 
 

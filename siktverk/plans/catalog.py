@@ -13,7 +13,9 @@ from siktverk.functions.ids import bare_id, canonical_id, hash_fraction, hash_ke
 from siktverk.functions.judge import combined_score, parsed_score
 from siktverk.operators import features as feat
 from siktverk.operators import joins, judging, metrics, preference, ranking, sampling, training
+from siktverk.operators.ordering import quantiles
 from siktverk.plans import views as v
+from siktverk.plans.config import Training
 from siktverk.sources import readers, sinks
 from siktverk.sources.durable import checkpoint_dir, durable
 from siktverk.sources.tables import table
@@ -197,12 +199,16 @@ def combined_24col(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*v.COMBINED)
 
 
-@query("with t as (select distinct lower(trim(rater_name)) as rater_name, pair_id, queue_position, skipped from responses), o as (select * from t where not exists (select 1 from t x where x.rater_name = t.rater_name and x.pair_id = t.pair_id and x.skipped = 0)) select rater_name, min(queue_position) as queue_position, arg_min(pair_id, (queue_position, pair_id)) as pair_id from o group by 1")
+_NAME = "lower(trim(rater_name, ' \t\n\r'))"
+
+
+@query(f"""with q as (select {_NAME} as rater_name, pair_id, queue_position from responses where rater_name is not null and pair_id is not null and queue_position is not null),
+done as (select {_NAME} as rater_name, pair_id from responses where session_num = 1 and rater_name is not null and pair_id is not null)
+select rater_name, min(queue_position) as queue_position, arg_min(pair_id, (queue_position, pair_id)) as pair_id from q where not exists (select 1 from done d where d.rater_name = q.rater_name and d.pair_id = q.pair_id) group by 1""")
 def next_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """The first pair in each rater's queue that has no answer (what was only skipped is open)."""
-    rows = table(spark, d, "responses", "rater_name", "pair_id", "queue_position", "skipped").withColumn("rater_name", F.lower(F.trim("rater_name")))
-    open_ = rows.select("rater_name", "pair_id", "queue_position").distinct().join(rows.filter("skipped = 0").select("rater_name", "pair_id").distinct(), ["rater_name", "pair_id"], "left_anti")
-    return open_.groupBy("rater_name").agg(F.min("queue_position").alias("queue_position"), F.min_by("pair_id", F.struct("queue_position", "pair_id")).alias("pair_id"))
+    """What each rater gets next after the first session; pairs with any response, skipped ones too, are done."""
+    rows = table(spark, d, "responses", "rater_name", "pair_id", "queue_position", "session_num")
+    return preference.next_tasks(rows, rows.filter("session_num = 1"))
 
 
 @query("select rater_name, pair_id, count(*) as n from (select distinct lower(trim(rater_name)) as rater_name, pair_id from responses) group by all")
@@ -271,20 +277,45 @@ def spearman_average(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.spearman_average(_axes(spark, d), "x", "y"))
 
 
-@query(f"""{_AXES}, g as (select round(x, 1) as x, round(y, 1) as y from b), c as (select x, y, count(*)::double as n from g group by all),
+@query(f"""{_AXES}, c as (select x, y, count(*)::double as n from b group by all),
 p as (select sum(case when a.y < b.y then a.n * b.n else 0 end) as con, sum(case when a.y > b.y then a.n * b.n else 0 end) as dis from c a join c b on a.x < b.x),
-tx as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by x)), ty as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by y)), tot as (select sum(n) * (sum(n) - 1) / 2 as p from c)
-select con as concordant, dis as discordant, tx.t as ties_x, ty.t as ties_y, round((con - dis) / sqrt((tot.p - tx.t) * (tot.p - ty.t)), 6) as tau_b from p, tx, ty, tot""")
+tx as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by x)), ty as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by y)), tot as (select sum(n)::bigint as n, sum(n) * (sum(n) - 1) / 2 as p from c)
+select tot.n as n, con as concordant, dis as discordant, tx.t as ties_x, ty.t as ties_y, round((con - dis) / sqrt((tot.p - tx.t) * (tot.p - ty.t)), 6) as tau_b from p, tx, ty, tot""")
 def kendall_b(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.kendall_b(_axes(spark, d).select(F.round("x", 1).alias("x"), F.round("y", 1).alias("y")), "x", "y"))
+    return rounded(metrics.kendall_b(_axes(spark, d), "x", "y").drop("p_value"))
+
+
+@query()
+def correlation_tests(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.correlation_tests(_axes(spark, d), "x", "y"))
 
 
-@query(f"""{_AXES}, g as (select case when y >= 0.6 then 'high' when y <= 0.4 then 'low' end as g, x from b), h as (select * from g where g is not null)
-select (select count(*) from h where g = 'high') as n1, (select count(*) from h where g = 'low') as n2, sum(case when a.x > c.x then 1.0 when a.x = c.x then 0.5 else 0 end)::double as u, round(avg(case when a.x > c.x then 1.0 when a.x = c.x then 0.5 else 0 end), 6) as auc
-from (select x from h where g = 'high') a, (select x from h where g = 'low') c""")
+_POOLED = f"{_AXES}, g as (select case when y >= 0.6 then 'high' when y <= 0.4 then 'low' end as g, x from b), h as (select * from g where g is not null)"
+_PHI = "(exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))))"
+
+
+@query(f"""{_POOLED}, r as (select g, x, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0::double as rk from h), k as (select x, count(*)::double as c from h group by x),
+s as (select count_if(g = 'high') as n1, count_if(g = 'low') as n2, sum(case when g = 'high' then rk end) - count_if(g = 'high') * (count_if(g = 'high') + 1) / 2.0::double as u from r),
+v as (select *, (u - n1 * n2 / 2.0::double - 0.5::double) / sqrt(n1 * n2 / 12.0::double * (n1 + n2 + 1 - (select sum(c * c * c - c) from k) / ((n1 + n2) * (n1 + n2 - 1)::double))) as z from s), w as (select *, 1 / (1 + 0.2316419::double * abs(z)) as t from v)
+select n1, n2, u::double as u, round(u / (n1 * n2)::double, 6) as auc, round(case when z >= 0 then {_PHI} else 1 - {_PHI} end, 6) as p_greater from w""")
 def auc_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
-    rows = _axes(spark, d).withColumn("g", F.when(F.col("y") >= 0.6, "high").when(F.col("y") <= 0.4, "low"))
-    return rounded(metrics.mann_whitney(rows, "g", "high", "low", "x").drop("p_greater"))
+    return rounded(metrics.mann_whitney(_pooled(spark, d), "g", "high", "low", "x"))
+
+
+def _pooled(spark: SparkSession, d: str) -> DataFrame:
+    return _axes(spark, d).withColumn("g", F.when(F.col("y") >= 0.6, "high").when(F.col("y") <= 0.4, "low"))
+
+
+@query(f"{_POOLED} select g, count(*) as n, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_samp(x), 6) as std, round(min(x), 6) as min, round(max(x), 6) as max from h group by 1")
+def pool_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.pool_comparison(_pooled(spark, d), "g", "x"))
+
+
+@query(f"{_POOLED} select round(avg(x) filter (g = 'high') - avg(x) filter (g = 'low'), 6) as gap from h")
+def pool_gap(spark: SparkSession, d: str) -> DataFrame:
+    """The gap of the pools' means."""
+    mean = lambda k: F.avg(F.when(F.col("g") == k, F.col("x")))
+    return rounded(_pooled(spark, d).filter("x is not null and g is not null").agg((mean("high") - mean("low")).alias("gap")))
 
 
 @query(f"{_AXES}, s as (select avg(x - y) as bias, stddev_samp(x - y) as sd from ax) select round(bias, 6) as bias, round(sd, 6) as sd, round(bias - 1.96 * sd, 6) as low, round(bias + 1.96 * sd, 6) as high from s")
@@ -320,19 +351,26 @@ def stratum_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _pool(spark, d).groupBy(*_BOTH).agg(F.count("*").alias("n"))
 
 
-@query()
+_SIZES = f"with {v.SQL_ANN}, {_STRATA}, sz as (select edu_ord, quality_ord, count(*) as n from strata where edu_ord is not null and quality_ord is not null group by all), w as (select *, least(100, sum(n) over ()) as w from sz)"
+_EVEN = "a as (select *, row_number() over (order by n, edu_ord, quality_ord) as i, (w - (sum(n) over (order by n, edu_ord, quality_ord) - n)) // (count(*) over () - row_number() over (order by n, edu_ord, quality_ord) + 1) as share from w), l as (select arg_min(share, i) filter (n > share) as level from a), g as (select a.*, least(n, coalesce(level, n)) as base from a, l), al as (select edu_ord, quality_ord, n, base + (n > base and sum((n > base)::int) over (order by edu_ord, quality_ord) <= w - sum(base) over ())::int as given from g)"
+_FAIR = "a as (select *, least(2, n) as f from w), b as (select *, greatest(0, least(f, w - sum(f) over (order by n desc, edu_ord, quality_ord) + f)) as base from a), c as (select *, n - base as room, w - sum(base) over () as rest from b), e as (select *, (rest * room) // greatest(sum(room) over (), 1) as part, (rest * room) % greatest(sum(room) over (), 1) as frac from c), al as (select edu_ord, quality_ord, n, base + part + (row_number() over (order by frac desc, n desc, edu_ord, quality_ord) <= rest - sum(part) over ())::int as given from e)"
+_STATS = "st as (select edu_ord, quality_ord, n as pool_size, given::bigint as sampled, n / (sum(n) over ())::double as pop_frac, given / (sum(given) over ())::double as sample_frac, n / (sum(n) over ())::double / nullif(given / (sum(given) over ())::double, 0) as stratum_weight from al)"
+_STAT = "select edu_ord, quality_ord, pool_size, sampled, round(pop_frac, 6) as pop_frac, round(sample_frac, 6) as sample_frac, round(stratum_weight, 6) as stratum_weight from st"
+
+
+@query(f"{_SIZES}, {_EVEN}, {_STATS} {_STAT}")
 def alloc_uniform(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.stratum_stats(_pool(spark, d), _BOTH, 100)
+    return rounded(sampling.stratum_stats(_pool(spark, d), _BOTH, 100))
 
 
-@query()
+@query(f"{_SIZES}, {_FAIR}, {_STATS} {_STAT}")
 def alloc_proportional(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.stratum_stats(_pool(spark, d), _BOTH, 100, "proportional")
+    return rounded(sampling.stratum_stats(_pool(spark, d), _BOTH, 100, "proportional"))
 
 
-@query()
+@query(f"{_SIZES}, {_EVEN}, {_STATS}, rk as (select ann.id, s.edu_ord, s.quality_ord, content_type, row_number() over (partition by s.edu_ord, s.quality_ord order by sha256('42:' || ann.id), ann.id) as k from ann join strata s on s.id = ann.id where s.edu_ord is not null and s.quality_ord is not null) select id, edu_ord, quality_ord, round(stratum_weight, 6) as stratum_weight, content_type from rk join st using (edu_ord, quality_ord) where k <= sampled")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.manifest(sampling.stratified_sample(_pool(spark, d), _BOTH, 100).select("id", *_BOTH, "stratum_weight", "content_type"), ["id", *_BOTH, "stratum_weight"])
+    return rounded(sinks.manifest(sampling.stratified_sample(_pool(spark, d), _BOTH, 100).select("id", *_BOTH, "stratum_weight", "content_type"), ["id", *_BOTH, "stratum_weight"]))
 
 
 @query(f"with {v.SQL_ANN}, c as (select content_quality || '×' || educational_value as stratum, count(*) as n from ann where content_quality is not null and educational_value is not null group by 1), t as (select *, round_even(n * 300 / (sum(n) over ())::double, 0) as w from c) select stratum, n, cast(case when n < 5 then n else least(n, greatest(5, least(25, w))) end as bigint) as take from t")
@@ -355,10 +393,10 @@ def pool_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(f"with {v.SQL_ANN}, {v.SQL_META}, {v.SQL_FEAT}, k as (select content_type, length from feat where content_type is not null and length is not null group by all having count(*) >= 2), g as (select feat.content_type, feat.length, doc_id, cast(i.range as int) as grp, row_number() over (partition by feat.content_type, feat.length, i.range order by sha256('42:' || i.range || ':' || doc_id), doc_id) as rn from feat join k using (content_type, length), range(4) i) select content_type, length, grp as \"group\", doc_id from g where rn <= 8")
+@query(f"with {v.SQL_ANN}, {v.SQL_META}, {v.SQL_FEAT}, k as (select content_type, length from feat where content_type is not null and length is not null group by all having count(*) >= 2), g as (select feat.content_type, feat.length, doc_id, cast(i.range as int) as grp, row_number() over (partition by feat.content_type, feat.length, i.range order by sha256('42:' || i.range || ':' || doc_id), doc_id) as rn from feat join k using (content_type, length), range(32) i) select content_type, length, grp as \"group\", doc_id from g where rn <= 64")
 def train_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = feat.to_features(v.joined(spark, d)).select("content_type", "length", "doc_id")
-    return sampling.training_groups(rows, ["content_type", "length"], 8, 4).select("content_type", "length", "group", "doc_id")
+    return sampling.training_groups(rows, ["content_type", "length"]).select("content_type", "length", "group", "doc_id")
 
 
 @query(f"with {v.SQL_ANN} select case " + " ".join(f"when content_type in {t} then '{k}'" for k, t in FAMILIES.items()) + " else 'informational' end as family, count(*) as n from ann group by 1")
@@ -372,9 +410,13 @@ def _families(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("bucket", F.coalesce(F.try_element_at(bucket, F.col("content_length")), F.lit(0)))
 
 
-@query()
+_FAM = f"fam as (select *, case " + " ".join(f"when content_type in {t} then '{k}'" for k, t in FAMILIES.items()) + " else 'informational' end as family, case content_length when 'brief' then 1 when 'moderate' then 2 when 'substantial' then 3 else 0 end as bucket from ann)"
+
+
+@query(f"with {v.SQL_ANN}, {_FAM}, c as (select family, bucket, count(*) as n from fam where id is not null group by all), m as (select a.family, a.bucket, string_agg(b.bucket::varchar, ',' order by b.bucket) as meets, sum(b.n)::bigint - 1 as partners from c a join c b on a.family = b.family and abs(a.bucket - b.bucket) <= 1 group by all) select family, bucket, id, meets, partners from fam join m using (family, bucket) where id is not null")
 def pair_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return joins.band_classes(_families(spark, d), "family", "bucket", "id")
+    rows = joins.band_classes(_families(spark, d), "family", "bucket", "id")
+    return rows.withColumn("meets", F.array_join(F.col("meets").cast("array<string>"), ","))
 
 
 @query()
@@ -382,7 +424,20 @@ def pair_capped(spark: SparkSession, d: str) -> DataFrame:
     return sampling.drawn_pairs(_families(spark, d), "family", "bucket", "id")
 
 
-@query()
+def _sql_matched(name: str, worse: str, better: str, n: int, seed: int, kind: str) -> str:
+    h = f"sha256('{seed}:' || id)"
+    return f"""{name}_l as (select id as a, family, row_number() over (partition by family order by {h}, id) as i, {h} as h from fam where {worse} qualify i <= {n}),
+{name}_h as (select id as b, family, row_number() over (partition by family order by {h}, id) as i from fam where ({better}) and not coalesce({worse}, false) qualify i <= {n}),
+{name}_s as (select a, b, true as same_family, h from {name}_l join {name}_h using (family, i)),
+{name}_x as (select a, h, row_number() over (order by h) as i from {name}_l where a not in (select a from {name}_s)), {name}_y as (select b, row_number() over (order by b) as i from {name}_h where b not in (select b from {name}_s)),
+{name} as (select a, b, same_family, '{kind}' as pair_kind, 'b' as calibration_correct_doc from (select * from {name}_s union all select a, b, false, h from {name}_x join {name}_y using (i)) order by same_family desc, h, a limit {n})"""
+
+
+_WHOLE = "content_integrity = 'complete'"
+_CALIBRATION = f"{_sql_matched('cr', "content_integrity in ('severely_degraded', 'fragment')", f"{_WHOLE} and content_quality in ('good', 'excellent') and information_density = 'dense'", 5, 42, 'calibration_readability')}, {_sql_matched('cs', f"({_WHOLE} and educational_value in ('none', 'minimal'))", f"{_WHOLE} and educational_value = 'high'", 4, 43, 'calibration_substance')}"
+
+
+@query(f"with {v.SQL_ANN}, {_FAM}, {_CALIBRATION} select * from cr union all select * from cs")
 def calibration_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = _families(spark, d)
     whole = F.col("content_integrity") == "complete"
@@ -391,15 +446,55 @@ def calibration_pairs(spark: SparkSession, d: str) -> DataFrame:
     return read.withColumn("pair_kind", F.lit("calibration_readability")).unionByName(sub.withColumn("pair_kind", F.lit("calibration_substance"))).withColumn("calibration_correct_doc", F.lit("b"))
 
 
-@query()
+#: What a rater is shown of a document, beside its id.
+_SHOWN = ["text", "one_sentence_description", "char_count", "content_length", "url", *[c for c in v.LABELS if c not in ("one_sentence_description", "content_length")]]
+
+
+def _real_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The real pairs of the study by document, each once."""
+    return preference.unique_pairs(table(spark, d, "pairs")).filter("pair_kind = 'real' and doc_a_id is not null and doc_b_id is not null").select(F.col("doc_a_id").alias("a"), F.col("doc_b_id").alias("b")).distinct()
+
+
+_REAL = f"up as (select pair_id, min({v.bare('doc_a_id')}) as a, min({v.bare('doc_b_id')}) as b, min(pair_kind) as pair_kind from pairs group by 1), rp as (select distinct a, b from up where pair_kind = 'real' and a is not null and b is not null)"
+_UUID = "(select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) from (select sha256('real|' || p.a || '|' || p.b) as h))"
+
+
+@query(f"with {_REAL} select a, b, row_number() over (order by sha256('42:' || a || '|' || b), a, b) <= 9 as is_duplicate from rp")
+def duplicate_marks(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.mark_duplicates(_real_pairs(spark, d))
+
+
+@query(f"with {v.SQL_ANN_WIDE}, {_REAL}, p as (select a, b, row_number() over (order by sha256('42:' || a || '|' || b), a, b) <= 9 as is_duplicate from rp) select 'real' as pair_kind, is_duplicate, {_UUID} as pair_id, " + ", ".join(f"p.{x} as doc_{x}_id, " + ", ".join(f"coalesce(d{x}.{c}, '') as doc_{x}_{c}" if c in ("text", "url") else f"d{x}.{c} as doc_{x}_{c}" for c in _SHOWN) for x in "ab") + " from p join ann da on da.id = p.a join ann db on db.id = p.b")
+def pair_table(spark: SparkSession, d: str) -> DataFrame:
+    """The real pairs as raters are shown them."""
+    pairs = sampling.mark_duplicates(_real_pairs(spark, d)).withColumn("pair_kind", F.lit("real"))
+    out = sampling.pair_rows(pairs, v.annotations(spark, d, "text", "char_count", "url"), _SHOWN)
+    return out.select("pair_kind", "is_duplicate", "pair_id", *[f"doc_{x}_{c}" for x in "ab" for c in ("id", *_SHOWN)])
+
+
+@query(f"with {_REAL}, u as (select x, count(*) as u from (select a as x from rp union all select b from rp) group by 1), s as (select list(u order by u) as l, max(u) as m from u) select len(l) as distinct_documents, l[(len(l) * 0.5::double)::bigint + 1] as median_uses, l[floor(len(l) * 0.9::double)::bigint + 1] as p90_uses, m as max_uses from s")
+def document_reuse(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.reuse(_real_pairs(spark, d))
+
+
+@query("""with once as (select pair_id, min(pair_kind) as pair_kind, max(is_duplicate) as is_duplicate from pairs group by 1), o as (select *, sha256('42:' || pair_id) as h, sha256('rater-1:' || pair_id) as own from once),
+pl as (select pair_id, own from (select *, row_number() over (order by h, pair_id) as i from o where pair_kind = 'real' and not is_duplicate) where i <= 30),
+re as (select pair_id, own from (select *, row_number() over (order by h, pair_id) as i from o where pair_kind = 'real' and is_duplicate) where i <= 6),
+ca as (select pair_id, own, row_number() over (order by own, pair_id) as i from o where pair_kind <> 'real' qualify i <= 9),
+rest as (select *, row_number() over (order by own, pair_id) as i from (select * from pl union all select * from re)),
+fr as (select range as p, row_number() over (order by range) as i from range(45) where range not in (0, 7, 14, 15, 22, 29, 30, 37, 44)),
+q as (select pair_id, own, [0, 7, 14, 15, 22, 29, 30, 37, 44][i]::int as queue_position from ca union all select pair_id, own, p::int from rest join fr using (i))
+select 'rater-1' as rater_name, queue_position, ceil((queue_position + 1) / 15.0::double)::int as session_num, pair_id, case when substr(own, 1, 1) < '8' then 'a_left' else 'a_right' end as side_assignment from q""")
 def queue_assignment(spark: SparkSession, d: str) -> DataFrame:
     return sampling.rater_queue(table(spark, d, "pairs", "pair_id", "pair_kind", "is_duplicate"), "rater-1", 0)
 
 
 @query(f"with {v.SQL_ANN} select content_quality, count(*) as n, round(quantile_cont(length(text), 0.5), 6) as median_chars, round(quantile_cont(length(text), 0.9), 6) as p90_chars from ann where text is not null group by 1")
 def char_stats_by_stratum(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.annotations(spark, d, "text").filter("text is not null").withColumn("c", F.length("text"))
-    return rounded(rows.groupBy("content_quality").agg(F.count("*").alias("n"), F.percentile("c", F.lit(0.5)).alias("median_chars"), F.percentile("c", F.lit(0.9)).alias("p90_chars")))
+    rows = v.annotations(spark, d, "text").filter("text is not null").select("content_quality", F.length("text").alias("c"))
+    middle = quantiles(rows, "content_quality", "c", {"median_chars": 0.5, "p90_chars": 0.9}).withColumnRenamed("content_quality", "_q")
+    sizes = rows.groupBy("content_quality").agg(F.count("*").alias("n"))
+    return rounded(sizes.join(middle, F.col("content_quality").eqNullSafe(F.col("_q"))).drop("_q"))
 
 
 @query("select doc_id, round(length(regexp_replace(text, '[^\\p{Latin}]', '', 'g')) / nullif(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 0)::double, 6) as latin_share from documents")
@@ -465,7 +560,10 @@ def timing_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(preference.timing(table(spark, d, "responses")))
 
 
-@query(f"with {_CLEAN}, {_PAIRS}, c as (select *, case when pair_kind = 'calibration_readability' then readability_choice else substance_choice end as ch from r where pair_kind <> 'real' and not skipped), k as (select rater_name, pair_kind, {_pick('ch')} as pick, correct from c join p using (pair_id) where correct is not null) select rater_name, pair_kind, count_if(pick = correct) as correct, count(*) as total, round(count_if(pick = correct) / count(*)::double, 6) as accuracy from k where pick is not null group by 1, 2")
+_CAL = f"c as (select *, case when pair_kind = 'calibration_readability' then readability_choice else substance_choice end as ch from r where pair_kind <> 'real' and not skipped), k as (select rater_name, pair_kind, {_pick('ch')} as pick, correct from c join p using (pair_id) where correct is not null)"
+
+
+@query(f"with {_CLEAN}, {_PAIRS}, {_CAL} select rater_name, pair_kind, count_if(pick = correct) as correct, count(*) as total, round(count_if(pick = correct) / count(*)::double, 6) as accuracy from k where pick is not null group by 1, 2")
 def calibration_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(preference.calibration(table(spark, d, "responses"), table(spark, d, "pairs")))
 
@@ -473,12 +571,17 @@ def calibration_accuracy(spark: SparkSession, d: str) -> DataFrame:
 _BOARD = ", ".join(f"count_if(not skipped and {a}_choice = '{c}') as {a}_{c}" for a in ("readability", "substance") for c in preference.CHOICES)
 
 
-@query(f"with {_CLEAN} select rater_name, count(*) as total, count_if(skipped) as skipped, count_if(not r.skipped and pair_kind = 'real' and is_duplicate = 0) as real_count, count_if(not r.skipped and is_duplicate = 1) as repeat_count, count_if(not r.skipped and pair_kind = 'calibration_readability') as cal_read_count, count_if(not r.skipped and pair_kind = 'calibration_substance') as cal_sub_count, round(avg(time_ms) filter (not r.skipped), 6) as mean_time_ms, {_BOARD.replace('not skipped', 'not r.skipped')}, count_if(not r.skipped and readability_choice is not null and substance_choice is not null) as both_answered, count_if(not r.skipped and left(readability_choice, 1) <> left(substance_choice, 1)) as diverged from r group by 1")
+@query(f"with {_CLEAN}, {_PAIRS}, {_CAL}, acc as (select rater_name, round(avg((pick = correct)::int) filter (pair_kind = 'calibration_readability'), 6) as cal_read_accuracy, round(avg((pick = correct)::int) filter (pair_kind = 'calibration_substance'), 6) as cal_sub_accuracy from k where pick is not null group by 1), bo as (select rater_name, count(*) as total, count_if(skipped) as skipped, count_if(not r.skipped and pair_kind = 'real' and is_duplicate = 0) as real_count, count_if(not r.skipped and is_duplicate = 1) as repeat_count, count_if(not r.skipped and pair_kind = 'calibration_readability') as cal_read_count, count_if(not r.skipped and pair_kind = 'calibration_substance') as cal_sub_count, round(avg(time_ms) filter (not r.skipped), 6) as mean_time_ms, {_BOARD.replace('not skipped', 'not r.skipped')}, count_if(not r.skipped and readability_choice is not null and substance_choice is not null) as both_answered, count_if(not r.skipped and left(readability_choice, 1) <> left(substance_choice, 1)) as diverged from r group by 1) select bo.*, cal_read_accuracy, cal_sub_accuracy from bo left join acc using (rater_name)")
 def rater_dashboard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(preference.dashboard(table(spark, d, "responses")))
+    return rounded(preference.dashboard(table(spark, d, "responses"), table(spark, d, "pairs")))
+
 
+@query(f"with {_CLEAN}, {_PAIRS} select response_id, pair_id, case when side_assignment = 'a_left' then doc_a_id else doc_b_id end as display_a_id, case when side_assignment = 'a_left' then doc_b_id else doc_a_id end as display_b_id from r join p using (pair_id)")
+def display_sides(spark: SparkSession, d: str) -> DataFrame:
+    return preference.display_sides(table(spark, d, "responses"), table(spark, d, "pairs"))
 
-_WON = f"with {_CLEAN}, {_PAIRS}, b as (select doc_a_id, doc_b_id, {_pick('readability_choice')} as x, {_pick('substance_choice')} as y from r join p using (pair_id) where not skipped and readability_choice is not null and substance_choice is not null), k as (select doc_a_id, doc_b_id, x as pick from b union all select doc_a_id, doc_b_id, y from b), won as (select case when pick = 'a' then doc_a_id else doc_b_id end as winner, case when pick = 'a' then doc_b_id else doc_a_id end as loser from k)"
+
+_WON = f"with {_CLEAN}, {_PAIRS}, b as (select doc_a_id, doc_b_id, {_pick('readability_choice')} as x, {_pick('substance_choice')} as y from r join p using (pair_id) where not skipped and pair_kind = 'real'), k as (select doc_a_id, doc_b_id, x as pick from b where x is not null union all select doc_a_id, doc_b_id, y from b where y is not null), won as (select case when pick = 'a' then doc_a_id else doc_b_id end as winner, case when pick = 'a' then doc_b_id else doc_a_id end as loser from k)"
 
 
 def _won(spark: SparkSession, d: str) -> DataFrame:
@@ -536,10 +639,13 @@ def resume_pending(spark: SparkSession, d: str) -> DataFrame:
     return judging.pending(texts, table(spark, d, "document_scores", "doc_id").select(bare_id("doc_id").alias("doc_id")))
 
 
-@query()
+_STUB = "round(('0x' || substr(h, {0}, 2))::int / 255.0::double, 2)"
+
+
+@query(f"with q as (select doc_id::varchar as doc_id, sha256('Rate ' || doc_id || ': ' || left(coalesce(text, ''), 3000)) as h from documents), s as (select doc_id, {_STUB.format(1)} as e, {_STUB.format(3)} as c from q) select doc_id, e as educational_value, c as content_quality, round((e + c) / 2, 6) as quality_score, '{{\"educational_value\": ' || e || ', \"content_quality\": ' || c || '}}' as raw_response from s")
 def judge_scores(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return judging.judge(texts, "Rate {id}: {text}", pause=0)
+    return rounded(judging.judge(texts, "Rate {id}: {text}", pause=0))
 
 
 @query(f"{_PARSED}, c as (select *, (educational_value + content_quality) / 2 as quality_score from s) select count(*) as n, count_if(quality_score is null) as failed, " + ", ".join(f"round(avg({c}), 6) as mean_{c}, round(median({c}), 6) as median_{c}" for c in ("quality_score", "educational_value", "content_quality")) + " from c")
@@ -548,29 +654,78 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(judging.summary(s.withColumn("quality_score", combined_score("educational_value", "content_quality"))))
 
 
+_JUDGED = f"with hu as (select {v.bare('doc_id')} as doc_id, max(score) as human from document_scores where score is not null and doc_id is not null group by 1), ju as (select {v.bare('doc_id')} as doc_id, max(gold_score) as judge from l1_pairwise where gold_score is not null and doc_id is not null group by 1), hj as (select doc_id, human, judge, human - judge as delta from hu join ju using (doc_id))"
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return judging.human_and_judge(table(spark, d, "document_scores", "doc_id", "score"), table(spark, d, "l1_pairwise", "doc_id", F.col("gold_score").alias("quality_score")))
+
+
+@query(f"{_JUDGED} select doc_id, round(human, 6) as human, round(judge, 6) as judge, round(delta, 6) as delta from hj")
+def human_and_judge(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_judged(spark, d))
+
+
+@query(f"{_JUDGED}, t as (select *, row_number() over (order by delta desc, doc_id) as hi, row_number() over (order by delta, doc_id) as lo from hj), u as (select *, 'human' as side, hi::int as place from t where hi <= 5 union all select *, 'judge', lo::int from t where lo <= 5) select doc_id, round(human, 6) as human, round(judge, 6) as judge, round(delta, 6) as delta, side, place from u")
+def disagreements(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(judging.disagreements(_judged(spark, d)))
+
+
+_TALLY = f"ta as (select {v.bare('doc_id')} as id, max(score) as score, max(wins) as wins, max(losses) as losses, max(n_comparisons) as n_comparisons from document_scores where doc_id is not null group by 1)"
+
+
+@query(f"with {v.SQL_ANN}, {v.SQL_META}, {_TALLY} select ann.id as id, content_quality, educational_value, round(score, 6) as score, wins, losses, n_comparisons, {', '.join('meta.' + c for c in v.METADATA)} from ann join ta using (id) left join meta using (id)")
+def scored_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated documents with their tallies, and metadata where there is any."""
+    tally = table(spark, d, "document_scores").withColumn("id", bare_id("doc_id")).filter("id is not null").groupBy("id").agg(*[F.max(c).alias(c) for c in ("score", "wins", "losses", "n_comparisons")])
+    rows = v.annotations(spark, d).select("id", "content_quality", "educational_value").join(tally, "id").join(v.metadata(spark, d), "id", "left")
+    return rounded(rows.select("id", "content_quality", "educational_value", "score", "wins", "losses", "n_comparisons", *v.METADATA))
+
+
+@query(f"with {v.SQL_ANN}, tx as (select * from (select {v.bare('id')} as id, left(text, 50000) as text, row_number() over (partition by {v.bare('id')} order by id, left(text, 50000)) as rn from eyeball) where rn = 1) select ann.id as id, ann.content_quality, tx.text as text from ann left join tx using (id)")
+def annotated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations with the first text of their document."""
+    ids = v.annotations(spark, d).select("id", "content_quality")
+    return ids.join(readers.first_texts(table(spark, d, "eyeball", "id", "text"), ids), "id", "left").select("id", "content_quality", "text")
+
+
+@query(f"{_WON}, wl as (select doc_id, sum(w)::bigint as wins, count(*) as n_comparisons from (select winner as doc_id, 1 as w from won union all select loser, 0 from won) group by 1), sc as (select *, round(wins / n_comparisons::double, 6) as share from wl), h as (select *, 'head' as \"end\" from sc order by share desc nulls last, doc_id limit 10), t as (select *, 'tail' as \"end\" from sc order by share nulls last, doc_id desc limit 10) select * from h union all select * from t")
+def score_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """The ten documents with the largest and the smallest share of wins."""
+    rows = preference.win_loss(_won(spark, d)).select("doc_id", "wins", "n_comparisons", F.round(F.col("wins") / F.col("n_comparisons"), 6).alias("share"))
+    return ranking.head_and_tail(rows, "share", "doc_id")
+
+
+@query()
+def table_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of each table's files."""
+    return readers.file_sizes(spark, d)
+
+
 # Trained models and streams.
 
 
 @query()
 def l1_train_grid(spark: SparkSession, d: str) -> DataFrame:
-    _, cells = training.grid_search(_labelled(spark, d), (1e-4, 1.0, 100.0), (0.0, 2.0), epochs=100)
+    t = Training()
+    _, cells = training.grid_search(_labelled(spark, d), t.alphas, t.gammas, t.percentiles, t.learning_rate, t.epochs, t.max_pairs)
     return rounded(spark.createDataFrame(cells[["cell", "alpha", "gamma", "mean_recall"]], "cell int, alpha double, gamma double, mean_recall double"))
 
 
 @query()
 def l2_lambda_rank(spark: SparkSession, d: str) -> DataFrame:
     ranked = ranking.rank_l1(_labelled(spark, d), unit=_UNIT)
-    groups = sampling.training_groups(ranked.filter("passed_hard_filter"), ["content_type", "length"], 64, 8)
-    model = training.train_lambda(ranked, groups, 30)
+    groups = sampling.training_groups(ranked.filter("passed_hard_filter"), ["content_type", "length"])
+    model = training.train_lambda(ranked, groups)
     scored = training.score_lambda(ranked.filter(F.col("rank_l1") <= v.M * v.K), model, "_s")
     return rounded(ranking.finalize(ranking.rank_l2(scored, v.K, v.M, "trained", F.col("_s")), False))
 
 
-@query()
+@query("select rater_name, count(*) as answers from (select distinct rater_name, pair_id from responses where submitted_at is not null) group by 1")
 def stream_first_answers(spark: SparkSession, d: str) -> DataFrame:
     """Intake of all answers as a bounded stream; the result lies in the checkpoint folder."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "responses")
     source.write.parquet(f"{base}/in")
-    stream.run_to(stream.first_answers(stream.read_responses(spark, f"{base}/in"), "3650 days").select("rater_name", "pair_id", "response_id"), f"{base}/out", f"{base}/state")
+    stream.run_to(stream.first_answers(stream.read_responses(spark, f"{base}/in"), "400 days").select("rater_name", "pair_id", "response_id"), f"{base}/out", f"{base}/state")
     return spark.read.schema("rater_name string, pair_id string, response_id string").parquet(f"{base}/out").groupBy("rater_name").agg(F.count("*").alias("answers"))

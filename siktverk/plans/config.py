@@ -62,6 +62,7 @@ class Ranking:
 
 @dataclass
 class Training:
+    # The default grids and sizes of training and evaluation.
     alphas: tuple[float, ...] = (1e-4, 1e-2, 1.0, 100.0, 1e4)
     gammas: tuple[float, ...] = (0.0, 1.0, 2.0, 5.0, 10.0)
     learning_rate: float = 0.05
@@ -90,6 +91,35 @@ class Pipeline:
     l2_model: str | None = None
 
 
+# Providers of model judges, with the address of those that speak another's protocol and the variable that holds the key.
+PROVIDERS: dict[str, tuple[str | None, str, bool]] = {
+    "anthropic": (None, "ANTHROPIC_API_KEY", False),
+    "openai": (None, "OPENAI_API_KEY", True),
+    "berget": ("https://api.berget.ai/v1", "BERGET_API_KEY", True),
+}
+
+
+@dataclass(frozen=True)
+class Judge:
+    """How a model judge is reached. Calls are made by a function that the caller passes in; keys are read by it, and never kept here."""
+
+    provider: str
+    model: str
+    max_tokens: int = 256
+    temperature: float = 0.0
+    base_url: str | None = None
+    api_key_env: str | None = None
+    openai_compatible: bool = True
+
+    @staticmethod
+    def resolve(provider: str, model: str, max_tokens: int = 256, temperature: float = 0.0, base_url: str | None = None, api_key_env: str | None = None) -> Judge:
+        """With what the provider has by default; raises for an unknown one."""
+        if provider not in PROVIDERS:
+            raise ValueError(f"no such provider: {provider}; there are {sorted(PROVIDERS)}")
+        url, key, compatible = PROVIDERS[provider]
+        return Judge(provider, model, max_tokens, temperature, url if base_url is None else base_url, api_key_env or key, compatible)
+
+
 def load_config(path: str | Path) -> Pipeline:
     raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     parts = {"hard_filter": HardFilter, "priority": Priority, "ranking": Ranking, "training": Training}

@@ -82,7 +82,7 @@ def train_l1(spark: SparkSession, config: Pipeline, labels: DataFrame, path: str
     return fit
 
 
-def train_l2(spark: SparkSession, config: Pipeline, labels: DataFrame, path: str, annotations: DataFrame | None = None, metadata: DataFrame | None = None, rounds: int = 60) -> training.Lambda:
+def train_l2(spark: SparkSession, config: Pipeline, labels: DataFrame, path: str, annotations: DataFrame | None = None, metadata: DataFrame | None = None, rounds: int = 200) -> training.Lambda:
     """Lambda trees on groups of the training split."""
     t = config.training
     prepared = prepare(joined(spark, config, annotations, metadata), config)

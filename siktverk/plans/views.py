@@ -15,6 +15,7 @@ from siktverk.operators.joins import first_per_key, join_metadata, load_labels
 from siktverk.operators.ranking import L1_WEIGHTS
 from siktverk.sources.tables import table
 
+# Columns of the annotation and the metadata tables.
 LABELS = ("content_integrity", "content_ratio", "content_length", "one_sentence_description", "content_type", "business_sector", "technical_content", "information_density", "content_quality", "audience_level", "commercial_bias", "time_sensitivity", "content_safety", "educational_value", "reasoning_indicators", "pii_presence", "regional_relevance", "country_relevance")
 METADATA = ("full_doc_lid_score", "duplicate_count", "full_doc_lid", "minhash_cluster_size")
 COMBINED = ("id", "quality_score", *LABELS, *METADATA)
@@ -64,6 +65,7 @@ def clipped(x: str, low: str, high: str) -> str:
 
 
 SQL_ANN = f"ann as (select * exclude (rn, raw, fetched_at, url, char_count, text), text from (select * replace ({bare('id')} as id), id as raw, row_number() over (partition by {bare('id')} order by fetched_at, id) as rn from eyeball) where rn = 1)"
+SQL_ANN_WIDE = f"ann as (select * exclude (rn, raw, fetched_at) from (select * replace ({bare('id')} as id), id as raw, row_number() over (partition by {bare('id')} order by fetched_at, id) as rn from eyeball) where rn = 1)"
 SQL_META = f"meta as (select id, full_doc_lid, full_doc_lid_score, minhash_cluster_size, duplicate_count from (select *  replace ({bare('id')} as id), row_number() over (partition by {bare('id')} order by indexed_at, match_no) as rn from matches) where rn = 1)"
 SQL_LABELS = f"lab as (select {bare('doc_id')} as doc_id, max(greatest(least(gold_score, 1.0::double), 0.0::double)) as gold_score from l1_pairwise where gold_score is not null group by 1)"
 _SOURCE = {"content_quality": "content_quality", "information_density": "information_density", "educational_value": "educational_value", "safety": "content_safety", "length": "content_length"}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +17,24 @@ from siktverk.functions.ids import bare_id, canonical_id, lookup_forms
 from siktverk.operators.joins import first_per_key, members
 
 MAX_TEXT = 50_000
+_T = TypeVar("_T")
+
+
+def retried(read: Callable[[], _T], attempts: int = 5, pause: float = 1.0) -> _T:
+    """``read()``, up to ``attempts`` times with linearly growing pauses; the last error is raised. For sources that fail now and then."""
+    for k in range(1, attempts + 1):
+        try:
+            return read()
+        except Exception:  # noqa: BLE001
+            if k == attempts:
+                raise
+            time.sleep(pause * k)
+    raise ValueError("no attempts")
+
+
+def pool_scan(df: DataFrame, pool_size: int = 100_000) -> DataFrame:
+    """The first ``pool_size`` rows with all columns, as a pool to sample from. The limit is the feature."""
+    return df.limit(pool_size)
 
 
 def read_local(spark: SparkSession, path: str) -> DataFrame:
@@ -50,24 +73,63 @@ def scan(df: DataFrame, columns: list[str], limit: int | None = None, targets: D
     return out if limit is None else out.limit(limit)
 
 
-def first_texts(df: DataFrame, targets: DataFrame, id_column: str = "id", text_column: str = "text") -> DataFrame:
-    """``id, text``: the first row (by raw id and text) of each bare id among the targets, texts cut to 50,000 characters."""
+def first_texts(df: DataFrame, targets: DataFrame, id_column: str = "id", text_column: str = "text", max_scan: int | None = None, path: str | None = None) -> DataFrame:
+    """``id, text``: the first row (by raw id and text) of each bare id among the targets, texts cut to 50,000 characters.
+
+    ``max_scan`` reads that many rows only. With a ``path``, what is found is kept there, and targets that stand there already are
+    not looked for again.
+    """
     if missing := {id_column, text_column} - set(df.columns):
         raise ValueError(f"columns not found: {sorted(missing)}")
     wanted = targets.select(bare_id(targets.columns[0]).alias("id")).distinct()
-    rows = df.select(bare_id(id_column).alias("id"), F.left(text_column, F.lit(MAX_TEXT)).alias("text"), F.col(id_column).alias("_raw")).join(wanted, "id", "left_semi")
+    if path:
+        return fetch_texts(df if max_scan is None else df.limit(max_scan), wanted, path=path)
+    rows = (df if max_scan is None else df.limit(max_scan)).select(bare_id(id_column).alias("id"), F.left(text_column, F.lit(MAX_TEXT)).alias("text"), F.col(id_column).alias("_raw")).join(wanted, "id", "left_semi")
     return first_per_key(rows, ["id"], "_raw", "text").select("id", "text")
 
 
-def fetch_texts(corpus: DataFrame | None, ids: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """``id, text`` of the asked ids: from the cache first, only what it lacks from the corpus; no corpus means the cache alone."""
+def fetch_texts(corpus: DataFrame | None, ids: DataFrame, cache: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """``id, text`` of the asked ids: from the cache first, only what it lacks from the corpus; no corpus means the cache alone.
+
+    ``path`` names a cache table, which is read, and to which new texts are appended by Spark's commit protocol: a run that
+    fails leaves it as it was.
+    """
     wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+    if path and cache is None:
+        try:
+            cache = ids.sparkSession.read.schema("id string, text string").parquet(path)
+        except AnalysisException:
+            cache = None
     if cache is None:
-        return first_texts(corpus, wanted)
-    held = cache.select("id", "text").join(wanted, "id", "left_semi")
-    if corpus is None:
-        return held
-    return held.unionByName(first_texts(corpus, wanted.join(held.select("id"), "id", "left_anti")))
+        if corpus is None:
+            return ids.sparkSession.createDataFrame([], "id string, text string")
+        found, held = first_texts(corpus, wanted), None
+    else:
+        held = cache.select("id", "text").join(wanted, "id", "left_semi")
+        if corpus is None:
+            return held
+        found = first_texts(corpus, wanted.join(held.select("id"), "id", "left_anti"))
+    if path:
+        found.write.mode("append").parquet(path)
+        return ids.sparkSession.read.schema("id string, text string").parquet(path).join(wanted, "id", "left_semi")
+    return found if held is None else held.unionByName(found)
+
+
+def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, files, bytes, size``: bytes of the files of each entry of a folder, with ``size`` in human units; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.regexp_extract("path", f"/{re.escape(root)}/([^/]+)", 1)
+    sizes = files.groupBy(name.alias("name")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return sizes.withColumn("size", human_bytes(F.col("bytes")))
+
+
+def human_bytes(c: Column) -> Column:
+    """Bytes to one digit in the largest unit of 1,024 that leaves less than 1,024, up to TB."""
+    out = F.format_string("%.1f TB", c / 1024.0**4)
+    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        out = F.when(c < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", c / float(1024**k))).otherwise(out)
+    return out
 
 
 def resolve_split(available: list[str], language: str | None, preferred: tuple[str, ...] = ("swe_Latn", "sv", "train")) -> str:

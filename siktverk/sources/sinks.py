@@ -66,8 +66,11 @@ def manifest(df: DataFrame, first: list[str]) -> DataFrame:
     return df.select(*[c for c in first if c in df.columns], *[c for c in df.columns if c not in first])
 
 
-def append_failures(df: DataFrame, path: str, id_column: str = "doc_id", reason: str = "reason") -> None:
-    """Appends ``id<TAB>reason`` lines."""
+def append_failures(df: DataFrame, path: str, id_column: str = "doc_id", reason: str = "reason", run: str | None = None) -> None:
+    """Appends ``id<TAB>reason`` lines, after a header line with the name and time of the run if it is given."""
+    if run is not None:
+        header = f"# run {run} {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"
+        df.sparkSession.createDataFrame([(header,)], "value string").write.mode("append").text(path)
     df.select(F.concat_ws("\t", id_column, reason).alias("value")).write.mode("append").text(path)
 
 
@@ -79,6 +82,11 @@ def upsert(current: DataFrame, new: DataFrame, keys: list[str], replace: bool =
     return current.unionByName(new.join(current.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def percentage(part: float | None, whole: float | None) -> str:
+    """Share in percent with one digit, ``n/a`` without a whole."""
+    return "n/a" if not whole or part is None else f"{100 * part / whole:.1f}%"
+
+
 def number(x: float | None) -> str:
     return "n/a" if x is None or math.isnan(x) else f"{x:.3f}"
 

@@ -10,21 +10,44 @@ from pyspark.sql import functions as F
 
 from siktverk.operators import joins, metrics, sampling
 
-sizes = st.dictionaries(st.integers(0, 20), st.integers(1, 60), min_size=1, max_size=8)
-
-
-@given(sizes, st.integers(0, 300))
-def test_allocations_sum_and_fit(held, wanted):
-    for f in (sampling.allocate_uniform, sampling.allocate_proportional):
-        got = f(held, wanted)
-        assert sum(got.values()) == min(wanted, sum(held.values()))
-        assert all(0 <= got[k] <= held[k] for k in held)
-
-
-def test_allocations():
-    assert sampling.allocate_uniform({1: 500, 2: 20, 3: 20, 4: 20}, 80) == {1: 20, 2: 20, 3: 20, 4: 20}
-    p = sampling.allocate_proportional({1: 500, 2: 20, 3: 20, 4: 20}, 80)
-    assert p[1] > 60 and min(p.values()) >= 2
+def allocated(spark, held, wanted, mode):
+    df = spark.createDataFrame(sorted(held.items()), "k int, n bigint")
+    return {r["k"]: r["given"] for r in sampling.allocation(df, ["k"], wanted, mode).collect()}
+
+
+def test_allocations_sum_and_fit(spark):
+    r = random.Random(3)
+    for _ in range(8):
+        held = {k: r.randint(1, 60) for k in range(r.randint(1, 8))}
+        wanted = r.randint(0, 300)
+        for mode in ("uniform", "proportional"):
+            got = allocated(spark, held, wanted, mode)
+            assert sum(got.values()) == min(wanted, sum(held.values())), (held, wanted, mode, got)
+            assert all(0 <= got[k] <= held[k] for k in held)
+        even = allocated(spark, held, wanted, "uniform")
+        level = max(even.values())
+        assert all(g >= level - 1 or g == held[k] for k, g in even.items())
+
+
+def test_allocations(spark):
+    assert allocated(spark, {1: 500, 2: 20, 3: 20, 4: 20}, 80, "uniform") == {1: 20, 2: 20, 3: 20, 4: 20}
+    assert allocated(spark, {1: 5, 2: 50, 3: 50}, 24, "uniform") == {1: 5, 2: 10, 3: 9}
+    p = allocated(spark, {1: 500, 2: 20, 3: 20, 4: 20}, 80, "proportional")
+    assert p == {1: 67, 2: 5, 3: 4, 4: 4}
+    assert allocated(spark, {1: 500, 2: 20, 3: 20}, 3, "proportional") == {1: 2, 2: 1, 3: 0}
+    assert allocated(spark, {}, 3, "uniform") == {}
+
+
+def test_duplicates_rows_and_reuse(spark):
+    pairs = spark.createDataFrame([(f"a{i}", "hub" if i < 6 else f"b{i}") for i in range(12)], "a string, b string")
+    marked = sampling.mark_duplicates(pairs, 3).collect()
+    assert len(marked) == 12 and sum(r["is_duplicate"] for r in marked) == 3
+    docs = spark.createDataFrame([("a0", None, 1), ("hub", "text", 2)], "id string, text string, pair_id int")
+    rows = sampling.pair_rows(pairs.withColumn("pair_kind", F.lit("real")), docs, ["text"]).collect()
+    assert [(r["doc_a_id"], r["doc_b_id"], r["doc_a_text"], r["doc_b_text"]) for r in rows] == [("a0", "hub", "", "text")] and len(rows[0]["pair_id"]) == 36
+    u = sampling.reuse(pairs).first()
+    assert (u["distinct_documents"], u["median_uses"], u["p90_uses"], u["max_uses"]) == (19, 1, 1, 6)
+    assert sampling.reuse(pairs.limit(0)).first()["distinct_documents"] == 0
 
 
 def test_stratified_sample(spark):
@@ -128,3 +151,59 @@ def test_statistics_against_brute_force(spark):
 def test_latin_share(spark):
     df = spark.createDataFrame([("abc",), ("abв",), ("12",), (None,)], "t string")
     assert [r[0] for r in df.select(metrics.latin_share("t")).collect()] == [1.0, pytest.approx(2 / 3), None, None]
+
+
+def brute_tau(rows):
+    c = d = tx = ty = 0
+    for (x, y), (u, v) in itertools.combinations(rows, 2):
+        c += (x - u) * (y - v) > 0
+        d += (x - u) * (y - v) < 0
+        tx, ty = tx + (x == u), ty + (y == v)
+    return c, d, tx, ty
+
+
+def test_kendall_on_values_of_any_kind(spark):
+    r = random.Random(5)
+    for rows in (
+        [(r.random(), r.random()) for _ in range(400)],
+        [(r.randint(0, 5), r.randint(0, 3)) for _ in range(300)],
+        [(1.0, r.random()) for _ in range(100)] + [(r.random(), 0.5) for _ in range(100)] + [(2.0, 2.0)] * 90,
+    ):
+        rows = [(float(x), float(y)) for x, y in rows]
+        df = spark.createDataFrame([*rows, (None, 1.0), (1.0, None)], "x double, y double")
+        got = metrics.kendall_b(df, "x", "y").first()
+        c, d, tx, ty = brute_tau(rows)
+        assert (got["concordant"], got["discordant"], got["ties_x"], got["ties_y"]) == (c, d, tx, ty)
+        n = len(rows) * (len(rows) - 1) / 2
+        assert got["tau_b"] == pytest.approx((c - d) / ((n - tx) * (n - ty)) ** 0.5)
+    assert metrics.kendall_b(df.limit(0), "x", "y").first()["tau_b"] is None
+
+
+def test_p_values(spark):
+    assert metrics.student_p(2.2281388519649385 / (2.2281388519649385**2 + 10) ** 0.5, 12) == pytest.approx(0.05, abs=1e-9)
+    assert metrics.student_p(0.0, 20) == pytest.approx(1.0) and metrics.student_p(None, 5) is None and metrics.student_p(1.0, 5) == 0.0
+    rows = [(float(i), float((i * 7) % 10)) for i in range(30)]
+    got = {r["method"]: r for r in metrics.correlation_tests(spark.createDataFrame(rows, "x double, y double"), "x", "y").collect()}
+    assert set(got) == {"pearson", "spearman", "kendall"} and all(r["n"] == 30 and 0 < r["p_value"] <= 1 for r in got.values())
+
+
+def test_quantiles_interpolate(spark):
+    import numpy as np
+
+    from siktverk.operators.ordering import quantiles
+
+    r = random.Random(2)
+    rows = [(g, float(r.choice([1, 2, 2, 3.5, 10, r.random()]))) for g in "abc" for _ in range(r.randint(1, 90))] + [("a", None), (None, 4.0)]
+    got = {x["g"]: x for x in quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"q1": 0.1, "q5": 0.5}).collect()}
+    assert set(got) == {"a", "b", "c", None} and got[None]["q5"] == 4.0
+    for g in "abc":
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g]["q1"] == pytest.approx(np.quantile(own, 0.1)) and got[g]["q5"] == pytest.approx(np.quantile(own, 0.5))
+
+
+def test_head_and_tail(spark):
+    from siktverk.operators.ranking import head_and_tail
+
+    df = spark.createDataFrame([(f"d{i}", i / 10) for i in range(8)] + [("n", None)], "id string, s double")
+    got = {(r["end"], r["id"]) for r in head_and_tail(df, "s", "id", 2).collect()}
+    assert got == {("head", "d7"), ("head", "d6"), ("tail", "d0"), ("tail", "d1")}

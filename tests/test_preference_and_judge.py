@@ -51,17 +51,18 @@ def test_inter_rater_and_boards(study):
     responses, pairs = study
     i = {r["axis"]: r for r in preference.inter_rater(responses).collect()}
     assert (i["readability"]["rater_pairs"], i["readability"]["same_document"], i["readability"]["same_choice"]) == (1, 1, 0)
-    d = {r["rater_name"]: r for r in preference.dashboard(responses).collect()}
+    d = {r["rater_name"]: r for r in preference.dashboard(responses, pairs).collect()}
     assert d["ann"]["total"] == 4 and d["ann"]["skipped"] == 1 and d["bo"]["cal_read_count"] == 1
+    assert d["bo"]["cal_read_accuracy"] == 1.0 and d["ann"]["cal_read_accuracy"] is None
     assert {r["rater_name"]: (r["correct"], r["total"]) for r in preference.calibration(responses, pairs).collect()} == {"bo": (1, 1)}
     assert {r["rater_name"]: r["n"] for r in preference.timing(responses).collect()} == {"ann": 3, "bo": 3}
 
 
 def test_bradley_terry(study, spark):
     won = preference.outcomes(*study)
-    assert won.count() == 8
+    assert won.count() == 7  # real pairs only; an axis that was answered alone counts
     table = {r["doc_id"]: (r["wins"], r["losses"]) for r in preference.win_loss(won).collect()}
-    assert sum(w for w, _ in table.values()) == 8 == sum(x for _, x in table.values())
+    assert sum(w for w, _ in table.values()) == 7 == sum(x for _, x in table.values())
     chain = spark.createDataFrame([("x", "y")] * 3 + [("y", "z")] * 3 + [("z", "y")], "winner string, loser string")
     s = {r["doc_id"]: r["log_odds"] for r in preference.bradley_terry(chain, 60).collect()}
     assert s["x"] > s["y"] > s["z"] and abs(sum(s.values())) < 1e-3
@@ -187,3 +188,109 @@ def test_pairwise_trainer():
 def test_choice_of_null(spark):
     df = spark.createDataFrame([(None, "a_left"), ("a_much", None)], "c string, s string")
     assert [r[0] for r in df.select(preference.chosen(F.col("c"), F.col("s"))).collect()] == [None, None]
+
+
+@pytest.fixture()
+def counted(tmp_path):
+    """A judge that answers in words at first, once without a score, and fails on one text; its calls are files, as workers make them."""
+    import uuid
+
+    def judge(text):
+        (tmp_path / f"{text}-{uuid.uuid4().hex}").touch()
+        if text == "fails":
+            raise RuntimeError("no connection")
+        if text == "words":
+            return "Educational value: 0.3, Content quality: 0.4"
+        return '{"educational_value": null, "content_quality": "n/a"}' if text == "empty" else '{"educational_value": 0.5, "content_quality": 0.7}'
+
+    return judge, lambda text: len(list(tmp_path.glob(f"{text}-*")))
+
+
+def test_a_call_is_repeated_until_both_axes_are_read(spark, counted):
+    judge, calls = counted
+    texts = spark.createDataFrame([("a", "words"), ("b", "empty"), ("c", "fails"), ("d", "good")], "doc_id string, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in judging.judge(texts, "{text}", scorer=judge, pause=0).collect()}
+    assert (calls("words"), calls("empty"), calls("fails"), calls("good")) == (1, 3, 3, 1)
+    assert rows["a"]["quality_score"] == pytest.approx(0.35) and rows["b"]["quality_score"] is None and rows["c"]["raw_response"].startswith("error: no conn")
+
+
+def test_judging_keeps_what_it_has(spark, tmp_path, counted):
+    judge, calls = counted
+    texts = spark.createDataFrame([(f"d{i}", f"t{i}") for i in range(12)], "doc_id string, text string")
+    path = str(tmp_path / "scores")
+
+    def breaks(text):
+        judge(text)
+        if text == "t7":
+            raise KeyboardInterrupt
+        return judge("good")
+
+    with pytest.raises(Exception):  # noqa: B017
+        judging.judge_to(texts, "{text}", path, breaks, every=2, pause=0)
+    held = {r["doc_id"] for r in spark.read.parquet(path).collect()} if (tmp_path / "scores").exists() else set()
+    before = {i: calls(f"t{i}") for i in range(12)}
+    out = judging.judge_to(texts, "{text}", path, judge, every=2, pause=0)
+    assert out.count() == 12 and out.select("doc_id").distinct().count() == 12
+    assert all(calls(f"t{i}") == before[i] for i in range(12) if f"d{i}" in held)
+    assert judging.judge_to(texts, "{text}", path, judge, pause=0).count() == 12
+
+
+def test_disagreements(spark):
+    human = spark.createDataFrame([(f"<urn:uuid:D{i}>", i / 10) for i in range(8)] + [("n", None)], "doc_id string, score double")
+    scores = spark.createDataFrame([(f"d{i}", 0.3) for i in range(8)], "doc_id string, quality_score double")
+    both = judging.human_and_judge(human, scores)
+    assert both.count() == 8
+    got = [(r["side"], r["place"], r["doc_id"]) for r in judging.disagreements(both, 2).orderBy("side", "place").collect()]
+    assert got == [("human", 1, "d7"), ("human", 2, "d6"), ("judge", 1, "d0"), ("judge", 2, "d1")]
+
+
+def test_next_tasks(spark):
+    queue = spark.createDataFrame([("Ann ", "p1", 0), ("ann", "p2", 1), ("ann", "p3", 2), ("bo", "p1", 0)], "rater_name string, pair_id string, queue_position int")
+    done = spark.createDataFrame([("ann", "p1", 1), ("ANN", "p2", 0), ("bo", "p1", 0)], "rater_name string, pair_id string, skipped int")
+    assert [tuple(r) for r in preference.next_tasks(queue, done).collect()] == [("ann", 2, "p3")]
+
+
+def test_texts_are_kept_and_sizes_told(spark, tmp_path):
+    from siktverk.sources import readers
+
+    corpus = spark.createDataFrame([("<urn:uuid:A>", "one"), ("b", "two")], "id string, text string")
+    path = str(tmp_path / "cache")
+    first = readers.first_texts(corpus, spark.createDataFrame([("a",)], "id string"), path=path)
+    assert [r["text"] for r in first.collect()] == ["one"]
+    both = readers.fetch_texts(corpus.filter("text = 'two'"), spark.createDataFrame([("a",), ("b",)], "id string"), path=path)
+    assert {r["text"] for r in both.collect()} == {"one", "two"}
+    sizes = {r["name"]: r for r in readers.file_sizes(spark, str(tmp_path)).collect()}
+    assert sizes["cache"]["bytes"] > 0 and sizes["cache"]["size"].endswith("B")
+    assert [r[0] for r in spark.createDataFrame([(5,), (2048,), (3 * 1024**4,)], "b bigint").select(readers.human_bytes(F.col("b"))).collect()] == ["5.0 B", "2.0 KB", "3.0 TB"]
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return 7
+
+    assert readers.retried(flaky, pause=0) == 7 and len(tries) == 3
+
+
+def test_clock_and_judge_config(spark):
+    from siktverk.functions import clock
+    from siktverk.plans.config import Judge
+
+    df = spark.createDataFrame([("2024-05-01T10:00:00Z", "2024-05-01T10:04:10.500Z"), (None, "x")], "a string, b string")
+    rows = df.select(clock.elapsed_seconds("a", "b"), clock.left_of_break("a", "b"), clock.iso_text(clock.parsed_time("a"))).collect()
+    assert tuple(rows[0]) == (250.5, 350, "2024-05-01T10:00:00.000000Z") and rows[1][0] is None
+    assert Judge.resolve("openai", "m", base_url="http://x").base_url == "http://x" and not Judge.resolve("anthropic", "m").openai_compatible
+    with pytest.raises(ValueError, match="no such provider"):
+        Judge.resolve("other", "m")
+    assert sinks.percentage(1, 0) == "n/a" and sinks.percentage(1, 8) == "12.5%"
+
+
+def test_late_answers_are_dropped(spark, tmp_path):
+    base = ("bo", "real", 0, 0, 1, "a_left", "a_much", "a_much", 0, None, 5)
+    row = lambda i, pair, at: (str(i), base[0], pair, *base[1:], at)
+    for k, rows in enumerate(([row(1, "p1", "2024-05-01T10:00:00Z")], [row(2, "p2", "2024-05-03T10:00:00Z"), row(3, "p2", "2024-05-03T10:30:00Z")], [row(4, "p3", "2024-05-01T11:00:00Z"), row(5, "p4", "2024-05-03T10:10:00Z")])):
+        spark.createDataFrame(rows, RESPONSES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = stream.first_answers(stream.read_responses(spark, f"{tmp_path}/in", 1), "1 hour").select("pair_id")
+        stream.run_to(out, f"{tmp_path}/out", f"{tmp_path}/state")  # each run goes on where the last one ended
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["p1", "p2", "p4"]  # p3 came two days late
