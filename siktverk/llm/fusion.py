@@ -3,14 +3,15 @@
 Method: each score is replaced by its average rank over all documents; a distributed correlation matrix of the ranks gives
 a first principal component, whose signs are turned to the declared directions; documents are sorted by their projection.
 
-Scores that are not correlated (as in the project's data) have no first component to speak of: its loadings, signs
-included, are sampling noise, and a score with a small loading would not count. The scores are to count equally, so the
-default is the component of the matrix whose correlations, turned to the declared directions, are replaced by their mean
-(the equicorrelation estimate), at least ``FLOOR``: its loadings are equal. ``equal=False`` takes the matrix as it is.
+Scores that are not correlated have no first component to speak of: its loadings, signs included, are sampling noise, and a
+score with a small loading would not count. So Bartlett's test asks first whether the correlations differ from none at all. If
+they do, the component is that of the matrix as it is. If not, it is that of the equicorrelation estimate (all correlations,
+turned to the declared directions, replaced by their mean, at least ``FLOOR``), whose loadings are equal.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +23,38 @@ from siktverk.operators.ordering import numbered, running_counts
 
 #: Least mean correlation of the equicorrelation estimate, so that its first component is the common one.
 FLOOR = 0.01
+#: Correlations are taken for none if they would be as large by chance with this probability.
+CHANCE = 1e-3
 
 
 @dataclass(frozen=True)
 class Component:
-    """Correlations of the ranks, the first component as found and as used, and the share of variance of the one used."""
+    """Correlations of the ranks, the first component as found and as used, the share of variance of the one used, and Bartlett's p-value."""
 
     correlations: np.ndarray
     found: np.ndarray
     used: np.ndarray
     share: float
+    chance: float
+
+
+def chi_tail(x: float, degrees: int) -> float:
+    """Upper tail of the chi-squared distribution with a whole number of degrees of freedom, by the recurrence of the gamma function."""
+    h = max(x, 0.0) / 2
+    a, q = (1.0, math.exp(-h)) if degrees % 2 == 0 else (0.5, math.erfc(math.sqrt(h)))
+    while a < degrees / 2 - 1e-9:
+        q += math.exp(a * math.log(h) - h - math.lgamma(a + 1)) if h else 0.0
+        a += 1
+    return min(1.0, q)
+
+
+def sphericity(correlations: np.ndarray, n: float) -> float:
+    """Bartlett's test: the chance of correlations as large as these between ``n`` rows of unrelated scores."""
+    p = len(correlations)
+    sign, log = np.linalg.slogdet(correlations)
+    if p < 2 or n <= p + 2:
+        return 1.0
+    return 0.0 if sign <= 0 else chi_tail(-(n - 1 - (2 * p + 5) / 6) * log, p * (p - 1) // 2)
 
 
 def documents(df: DataFrame, id_column: str, scores: dict[str, str]) -> DataFrame:
@@ -51,8 +74,11 @@ def rank_scores(docs: DataFrame, scores: list[str]) -> DataFrame:
     return docs.select("doc_id").join(joined, "doc_id", "left")
 
 
-def first_component(ranks: DataFrame, directions: dict[str, int], equal: bool = True) -> Component:
-    """First component of the rank correlations; one row of sums reaches the driver."""
+def first_component(ranks: DataFrame, directions: dict[str, int], equal: bool | None = None) -> Component:
+    """First component of the rank correlations; one row of sums reaches the driver.
+
+    ``equal`` asks for equal loadings or for those of the matrix; without it, Bartlett's test decides.
+    """
     names = list(directions)
     sums = []
     for i, a in enumerate(names):
@@ -62,10 +88,12 @@ def first_component(ranks: DataFrame, directions: dict[str, int], equal: bool =
             sums += [F.count(x), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)]
     got = iter([float(v or 0) for v in ranks.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()])
     m = np.eye(len(names))
+    least = math.inf  # rows of the pair of scores with the fewest
     for i in range(len(names)):
         for j in range(i + 1):
             n, sx, sy, xx, yy, xy = (next(got) for _ in range(6))
             n = max(n, 1.0)
+            least = min(least, n) if i != j else least
             spread = (xx - sx * sx / n) * (yy - sy * sy / n)
             if i != j:
                 m[i, j] = m[j, i] = (xy - sx * sy / n) / spread**0.5 if spread > 1e-18 else 0.0
@@ -77,15 +105,15 @@ def first_component(ranks: DataFrame, directions: dict[str, int], equal: bool =
         return v * (1.0 if v @ signs >= 0 else -1.0), float(values[-1] / len(names))
 
     found, share = leading(m)
-    used = found
-    if equal and len(names) > 1:
+    used, chance = found, sphericity(m, least)
+    if len(names) > 1 and (chance > CHANCE if equal is None else equal):
         turned = m * np.outer(signs, signs)
         mean = max(FLOOR, (turned.sum() - len(names)) / (len(names) * (len(names) - 1)))
         used, share = leading(((1 - mean) * np.eye(len(names)) + mean) * np.outer(signs, signs))
-    return Component(m, found, np.where(np.sign(used) == signs, used, signs * np.abs(used)), share)
+    return Component(m, found, np.where(np.sign(used) == signs, used, signs * np.abs(used)), share, chance)
 
 
-def fuse(df: DataFrame, id_column: str, scores: dict[str, str], directions: dict[str, int], equal: bool = True) -> tuple[DataFrame, Component]:
+def fuse(df: DataFrame, id_column: str, scores: dict[str, str], directions: dict[str, int], equal: bool | None = None) -> tuple[DataFrame, Component]:
     """``doc_id, projection, missing, position`` for every document, best first, and the component used.
 
     A null score counts as the middle rank and is told in ``missing``; tied projections share their order by ``doc_id``;

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siktverk.llm.lookalike import skeleton
@@ -25,8 +26,12 @@ from siktverk.sources.tables import spread
 
 #: Words of an item that may be altered or added without ending a run, and the share of an item that makes a leak.
 EDITS, SHARE = 2, 0.5
-#: Items to a block of the index, and to one broadcast index; an index of so many items of usual length is under 50 MB.
-BLOCK, PART = 8, 20_000
+#: Equal words that must follow an edit for it to be inside a run; fewer are chance.
+STRETCH = 3
+#: Items to a block of the index; items and words to one broadcast index, which is under 50 MB with so many.
+BLOCK, PART, PART_WORDS = 8, 20_000, 1_000_000
+#: The longest item of an index has at most so many times the words of the shortest, as windows are as long as the longest asks for.
+LONGER = 2
 K1, B = 1.2, 0.75
 
 _BROKEN = re.compile("(?<=\\w)[-‐‑]\n\\s*(?=\\w)")
@@ -132,10 +137,11 @@ class Index:
         return found
 
 
-def longest_run(item: list[int], text: list[int], edits: int = EDITS) -> int:
-    """Most item words covered by one run of the text with at most ``edits`` words altered, added or left out.
+def longest_run(item: list[int], text: list[int], edits: int = EDITS, stretch: int = STRETCH) -> int:
+    """Most item words held by one run of the text with at most ``edits`` words altered, added or left out.
 
-    A run begins and ends with equal words; altered words inside it are covered, left-out ones are not.
+    A run begins and ends with ``stretch`` equal words, and so many follow each edit or row of edits. Words that were altered or left
+    out are not held: two sentences of one pattern with other contents would hold each other otherwise.
     """
     where: dict[int, list[int]] = {}
     for j, t in enumerate(text):
@@ -149,45 +155,77 @@ def longest_run(item: list[int], text: list[int], edits: int = EDITS) -> int:
         for j in where.get(item[i], ()):
             if i and j and item[i - 1] == text[j - 1] or (i, j) in done:
                 continue
-            stack = [(i, j, edits, 0)]
-            reached: dict[tuple[int, int], int] = {}
+            stack = [(i, j, edits, 0, 0)]
+            reached: dict[tuple[int, int, bool], int] = {}
             while stack:
-                a, b, left, got = stack.pop()
+                a, b, left, got, spent = stack.pop()  # ``spent``: edits since the last equal word
+                first = a
                 while a < n and b < m and item[a] == text[b]:
                     a, b, got = a + 1, b + 1, got + 1
+                whole = a - first >= stretch
+                if whole:
                     best = max(best, got)
-                if left and a < n and b < m and reached.get((a, b), -1) < left:
-                    reached[a, b] = left
-                    stack += [(a + 1, b + 1, left - 1, got + 1), (a, b + 1, left - 1, got), (a + 1, b, left - 1, got)]
+                # a row of edits goes on without equal words between them, or after a stretch of them
+                if (whole or a == first and spent) and left and a < n and b < m and reached.get((a, b, whole), -1) < left:
+                    reached[a, b, whole] = left
+                    stack += [(a + 1, b + 1, left - 1, got, 1), (a, b + 1, left - 1, got, 1), (a + 1, b, left - 1, got, 1)]
             done.add((i, j))
     return best
 
 
+def classes(rows: list[tuple[int, str | None]]) -> list[list[tuple[int, str | None]]]:
+    """Items in groups of like length, ``LONGER`` from the shortest to the longest at most, with ``PART_WORDS`` words a group or one item."""
+    sized = sorted(((len(words(t)), i, t) for i, t in rows), key=lambda x: x[:2])
+    out: list[list[tuple[int, str | None]]] = []
+    least = held = 0
+    for n, i, t in sized:
+        if not n:
+            continue
+        if not out or n > LONGER * least or held + n > PART_WORDS:
+            out.append([])
+            least, held = n, 0
+        out[-1].append((i, t))
+        held += n
+    return out
+
+
 def leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, item_id, run_words, item_words`` for every document that holds at least half of an item's words in one run.
 
-    ``items`` (``item_id, text``) is the stated query set; it is collected, and broadcast in parts of bounded size, while the
-    documents are read once and never moved. Null, empty and blank texts on either side match nothing; repeated documents
-    are reported each; repeated items count once; other columns are ignored; empty tables give an empty result.
+    ``items`` (``item_id, text``) is the stated query set. It comes to the driver in parts of about ``PART`` items, by the hash of
+    their ids, and each part is broadcast for a pass of its own over the documents, which are never moved: a part is all that the driver
+    or a worker holds. Inside a part items of like length share an index, so that one long item does not make the windows of
+    all others long. Null, empty and blank texts on either side match nothing; repeated documents are reported each; repeated items
+    count once; other columns are ignored; empty tables give an empty result.
     """
-    spark = documents.sparkSession
-    rows = sorted({(r[0], r[1]) for r in items.select("item_id", "text").collect() if r[1]})
-    parts = [spark.sparkContext.broadcast(Index.build(rows[k : k + PART])) for k in range(0, len(rows), PART)]
+    once = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    parts = max(1, -(-once.count() // PART))
     slim = documents.select(id_column, text_column)
     schema = T.StructType([T.StructField("doc_id", slim.schema[id_column].dataType), T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("run_words", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
+    out = None
+    for k in range(parts):
+        rows = once.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
+        found = _found(spread(slim), sorted((r[0], r[1]) for r in rows), schema)
+        out = found if out is None else out.unionByName(found)
+    # an item under two texts may be found by each
+    best = F.max(F.struct("run_words", "item_words")).alias("b")
+    return out if len({r[0] for r in rows}) == len(rows) and parts == 1 else out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.run_words", "b.item_words")
+
+
+def _found(slim: DataFrame, rows: list[tuple[int, str | None]], schema: T.StructType) -> DataFrame:
+    held = slim.sparkSession.sparkContext.broadcast([Index.build(group) for group in classes(rows)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
             out: list[tuple[int, int, int, int]] = []
             for k, text in enumerate(batch.column(1)):
                 if tokens := words(text.as_py()):
-                    for part in parts:
-                        out += [(k, item, *run) for item, run in part.value.search(tokens).items()]
+                    for index in held.value:
+                        out += [(k, item, *run) for item, run in index.search(tokens).items()]
             if out:
                 at, item, covered, size = zip(*out)
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids.cast(kind), pa.array(item), pa.array(covered, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "item_id", "run_words", "item_words"])
 
-    return spread(slim).mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siktverk.sources.durable import Steps
 from siktverk.sources.tables import spread
 
 # Letters of three scripts that share a glyph, one class a word; Latin first, then Cyrillic and Greek.
@@ -222,7 +223,7 @@ def look_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     with map-side combine; a class with two spellings gives only the pairs asked for, and adaptive execution splits it
     when it is large.
     """
-    rows = look_classes(df, id_column, text_column)
+    rows = Steps(df.sparkSession).next(look_classes(df, id_column, text_column))  # read three times
     mixed = rows.groupBy("class_id").agg(F.min("exact_id").alias("lo"), F.max("exact_id").alias("hi")).filter("lo <> hi").select("class_id")
     rows = rows.join(mixed, "class_id")
     a = rows.select("class_id", F.col(id_column).alias("doc_id_1"), F.col("exact_id").alias("exact_1"))

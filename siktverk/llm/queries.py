@@ -48,11 +48,11 @@ def p1_ranking(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def p1_loadings(spark: SparkSession, directory: str) -> DataFrame:
-    """The rank correlations, and the first component as found and as used."""
+    """The rank correlations, the chance of them between unrelated scores, and the first component as found and as used."""
     c = _fused(spark, directory)[1]
     names = list(SCORES)
-    rows = [(k, float(c.found[i]), float(c.used[i]), *[float(x) for x in c.correlations[i]]) for i, k in enumerate(names)]
-    return spark.createDataFrame(rows, "score string, found double, used double, " + ", ".join(f"corr_{k} double" for k in names))
+    rows = [(k, float(c.found[i]), float(c.used[i]), c.chance, *[float(x) for x in c.correlations[i]]) for i, k in enumerate(names)]
+    return spark.createDataFrame(rows, "score string, found double, used double, chance double, " + ", ".join(f"corr_{k} double" for k in names))
 
 
 @query
@@ -121,8 +121,8 @@ def _outcomes(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
-    ranked = skill.skills(_outcomes(spark, directory)).select("doc_id", F.col("mean").alias("value"))
-    return _above(spark, directory, "responses", ranked, "v1 > v2")
+    ranked = skill.ranking(_outcomes(spark, directory)).select("doc_id", F.col("position").alias("value"))
+    return _above(spark, directory, "responses", ranked, "v1 < v2")
 
 
 @query

@@ -2,7 +2,8 @@
 
 Method: every item has a Gaussian skill; "i beat j" says that the difference of their skills plus noise is positive. The
 factors of all outcomes are approximated by Gaussian messages (expectation propagation), updated for all comparisons at
-once with damping, and repeated for a number of rounds. Items are ranked by mean less three standard deviations.
+once with damping, and repeated until no mean is moved any more to speak of. Items are ranked by mean less three standard
+deviations.
 
 Equal outcomes of a pair share one message that counts as often as they occur, so the state is one row a pair of items,
 whatever the number of votes. A round is one aggregate with map-side combine and one look-up of the two items of each row.
@@ -10,15 +11,17 @@ whatever the number of votes. A round is one aggregate with map-side combine and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siktverk.functions.ids import bare_id
 from siktverk.operators.ordering import numbered
 from siktverk.sources.durable import Steps, durable
 
-#: Prior standard deviation of a skill, standard deviation of the noise of one performance, damping and rounds.
-PRIOR_SD, NOISE_SD, DAMPING, ROUNDS = 1.5, 1.0, 0.6, 12
+#: Prior standard deviation of a skill, standard deviation of the noise of one performance, and damping.
+PRIOR_SD, NOISE_SD, DAMPING = 1.5, 1.0, 0.6
+#: Rounds at most, and what the largest change of a message's mean term, by the precision of the item, may be to end before.
+ROUNDS, TOLERANCE = 40, 5e-3
 #: Items up to which their skills (24 bytes each) are broadcast to the comparisons; beyond, both are shuffled.
 BROADCAST_ITEMS = 500_000
 # Coefficients of a Chebyshev fit of ln(erfc(x) exp(x^2) / t), t = 1 / (1 + x / 2), from published tables.
@@ -83,12 +86,14 @@ def _update(joined: DataFrame) -> DataFrame:
     tails = parts.withColumns({f"s{f}": _tail(F.col(f"u{f}")) for f in "12"})
     ratio = tails.withColumns({f"v{f}": _ratio(F.col(f"t{f}"), F.col(f"s{f}"), F.col(f"b{f}")) for f in "12"})
     both = ratio.withColumns({f"w{f}": F.least(F.greatest(F.col(f"v{f}") * (F.col(f"v{f}") + F.col(f"t{f}")), F.lit(1e-9)), F.lit(1 - 1e-9)) for f in "12"})
+    moved = lambda old, new, e: F.abs(new - old) / F.col(f"k{e}")
     new = both.withColumns({f"p{e}": F.col(f"k{e}") / (1 - F.col(f"w{e[0]}") / (F.col(f"k{e}") * F.col(f"c{e[0]}"))) for e in ends})
-    out = []
+    out, far = [], []
     for e, (_, p, h) in ends.items():
         mean = F.col(f"m{e}") + (1 if e[1] == "w" else -1) * F.col(f"v{e[0]}") / (F.col(f"k{e}") * F.sqrt(f"c{e[0]}"))
+        far.append(moved(F.col(h), F.col(f"p{e}") * mean - F.col(f"e{e}"), e))
         out += [(F.col(p) + DAMPING * (F.col(f"p{e}") - F.col(f"k{e}") - F.col(p))).alias(p), (F.col(h) + DAMPING * (F.col(f"p{e}") * mean - F.col(f"e{e}") - F.col(h))).alias(h)]
-    return new.select(*keep, *out)
+    return new.select(*keep, *out, F.greatest(*far).alias("moved"))
 
 
 def skills(compared: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -105,10 +110,14 @@ def skills(compared: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     e = base.select(key("i").alias("i"), key("j").alias("j"), "n_ij", "n_ji", *[F.lit(0.0).alias(m) for m in _MESSAGES])
     steps = Steps(base.sparkSession)
     for _ in range(rounds):
+        seen = Observation()
         state = _state(e)
         held = F.broadcast(state) if small else state
         joined = e.join(held.alias("x"), F.col("i") == F.col("x.item")).join(held.alias("y"), F.col("j") == F.col("y.item"))
-        e = steps.next(_update(joined))
+        # the largest change comes with the write of the round, not by a job of its own
+        e = steps.next(_update(joined).observe(seen, F.max("moved").alias("most")).drop("moved"))
+        if (seen.get["most"] or 0.0) < TOLERANCE:
+            break
     mean, sd = F.col("h") / F.col("p"), 1 / F.sqrt("p")
     out = names.join(_state(e).withColumnRenamed("item", "key"), key("doc_id") == F.col("key"))
     return out.select("doc_id", mean.alias("mean"), sd.alias("sd"), (mean - 3 * sd).alias("lower_bound"), "wins", "losses")

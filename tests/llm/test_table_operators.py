@@ -20,7 +20,7 @@ def test_fusion_ignores_scales(spark):
     two, _ = fusion.fuse(df, "doc_id", {"a": "log(a + 1)", "b": "b * 1e9", "c": "sqrt(c)"}, {"a": 1, "b": 1, "c": 1})
     order = lambda d: [x["doc_id"] for x in d.orderBy("position").collect()]
     assert order(one) == order(two) and len(order(one)) == 301
-    assert np.allclose(c1.used, 3**-0.5)
+    assert np.allclose(c1.used, 3**-0.5) and c1.chance > fusion.CHANCE
     assert {r["doc_id"]: r["missing"] for r in one.collect()}["n"] == 2
     flipped, _ = fusion.fuse(df, "doc_id", {"a": "-a", "b": "b", "c": "c"}, {"a": -1, "b": 1, "c": 1})
     assert order(flipped) == order(one)
@@ -31,8 +31,14 @@ def test_fusion_finds_the_common_component(spark):
     r = np.random.default_rng(0)
     z = r.normal(size=400)
     df = spark.createDataFrame([(f"d{i}", float(np.exp(z[i])), float(-z[i] + r.normal() * 0.1), float(z[i] + r.normal())) for i in range(400)], "doc_id string, a double, b double, c double")
-    _, c = fusion.fuse(df, "doc_id", {k: k for k in "abc"}, {"a": 1, "b": -1, "c": 1}, equal=False)
-    assert c.used[0] > 0.5 and c.used[1] < -0.5 and 0 < c.used[2] < c.used[0]
+    _, c = fusion.fuse(df, "doc_id", {k: k for k in "abc"}, {"a": 1, "b": -1, "c": 1})
+    assert c.chance < 1e-9 and c.used[0] > 0.5 and c.used[1] < -0.5 and 0 < c.used[2] < c.used[0]
+
+
+def test_chi_squared_tail():
+    for x, degrees, want in ((7.815, 3, 0.05), (3.841, 1, 0.05), (5.991, 2, 0.05), (16.919, 9, 0.05), (29.588, 10, 0.001)):
+        assert fusion.chi_tail(x, degrees) == pytest.approx(want, rel=2e-3)
+    assert fusion.chi_tail(0.0, 3) == 1.0
 
 
 def test_ties_share_the_average_rank(spark):
@@ -201,7 +207,7 @@ def large_corpus(r, texts):
     for w, x in zip(vocabulary, share):
         words[xxhash.xxh64_intdigest(w.encode(), 42) & slots - 1] += int(texts * 50 * x) + 1
     pairs = np.full(slots, texts * 50 // slots + 1, dtype=np.int64)  # as many words after each other by chance
-    return overlap.Counts(words, pairs, texts * 50), [r.choices(vocabulary, share, k=50) for _ in range(400)]
+    return overlap.Counts.of(words, pairs, texts * 50, texts), [r.choices(vocabulary, share, k=50) for _ in range(400)]
 
 
 @pytest.mark.parametrize("texts", [250_000, 1_000_000_000])
