@@ -2,8 +2,8 @@
 
 Method: every item has a Gaussian skill; "i beat j" says that the difference of their skills plus noise is positive. The
 factors of all outcomes are approximated by Gaussian messages (expectation propagation), updated for all comparisons at
-once with damping, and repeated until no mean is moved any more to speak of. Items are ranked by mean less three standard
-deviations.
+once with damping, and repeated until no mean is moved any more to speak of. Items are ranked by a
+conservative lower bound, their mean less two standard deviations.
 
 Equal outcomes of a pair share one message that counts as often as they occur, so the state is one row a pair of items,
 whatever the number of votes. A round is one aggregate with map-side combine and one look-up of the two items of each row.
@@ -18,10 +18,11 @@ from siktverk.functions.ids import bare_id
 from siktverk.operators.ordering import numbered
 from siktverk.sources.durable import Steps, durable
 
-#: Prior standard deviation of a skill, standard deviation of the noise of one performance, and damping.
-PRIOR_SD, NOISE_SD, DAMPING = 1.5, 1.0, 0.6
+#: Prior standard deviation of a skill, standard deviation of the noise of one performance, damping, and the standard deviations
+#: that the lower bound lies under the mean.
+PRIOR_SD, NOISE_SD, DAMPING, CAUTION = 1.5, 1.0, 0.8, 2.0
 #: Rounds at most, and what the largest change of a message's mean term, by the precision of the item, may be to end before.
-ROUNDS, TOLERANCE = 40, 5e-3
+ROUNDS, TOLERANCE = 40, 5e-2
 #: Items up to which their skills (24 bytes each) are broadcast to the comparisons; beyond, both are shuffled.
 BROADCAST_ITEMS = 500_000
 # Coefficients of a Chebyshev fit of ln(erfc(x) exp(x^2) / t), t = 1 / (1 + x / 2), from published tables.
@@ -120,7 +121,7 @@ def skills(compared: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             break
     mean, sd = F.col("h") / F.col("p"), 1 / F.sqrt("p")
     out = names.join(_state(e).withColumnRenamed("item", "key"), key("doc_id") == F.col("key"))
-    return out.select("doc_id", mean.alias("mean"), sd.alias("sd"), (mean - 3 * sd).alias("lower_bound"), "wins", "losses")
+    return out.select("doc_id", mean.alias("mean"), sd.alias("sd"), (mean - CAUTION * sd).alias("lower_bound"), "wins", "losses")
 
 
 def ranking(compared: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -111,9 +111,11 @@ def test_leaks(spark):
 
 
 def test_one_pattern_with_other_contents_is_no_leak():
-    item, other = "ab har sagt att planen kan vänta till juli de flesta".split(), "ab har sagt att skolan kan vänta till maj de flesta".split()
+    numbers: dict[str, int] = {}
+    ids = lambda t: [numbers.setdefault(w, len(numbers)) for w in t.split()]
+    item, other = ids("ab har sagt att planen kan vänta till juli de flesta"), ids("ab har sagt att skolan kan vänta till maj de flesta")
     assert leakage.longest_run(item, other) == 7  # the last two words are less than a stretch
-    assert leakage.longest_run(item, item) == 11 and leakage.longest_run(item, ["x", *item[:6], "ny", *item[6:], "y"]) == 11
+    assert leakage.longest_run(item, item) == 11 and leakage.longest_run(item, [98, *item[:6], 99, *item[6:], 97]) == 11
 
 
 def test_long_items_have_windows_of_their_own(spark):
