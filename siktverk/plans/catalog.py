@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siktverk.functions import clock
 from siktverk.functions.domains import FAMILIES, topic_family
 from siktverk.functions.ids import bare_id, canonical_id, hash_fraction, hash_key, hash_split, lookup_forms, wrapped_id
 from siktverk.functions.judge import combined_score, parsed_score
@@ -85,6 +86,12 @@ def dedup_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_prepared(spark, d).select("doc_id", "inverted_cluster_size", "inverted_duplicate_count"))
 
 
+@query(f"{v.SQL_BASE} select doc_id, " + ", ".join(f"round({f}_z * {CREDITS[f] / 100}::double, 6) as ux_{f}" for f in feat.FEATURES) + " from norm")
+def interaction_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = ranking.prepare(v.joined(spark, d), v.LID, unit={f: c / 100 for f, c in CREDITS.items()})
+    return rounded(rows.select("doc_id", *[f"ux_{f}" for f in feat.FEATURES]))
+
+
 _UNIT = {f: 1 / len(feat.FEATURES) for f in feat.FEATURES}
 _OWN = {f: c / 100 for f, c in CREDITS.items()}
 
@@ -160,7 +167,8 @@ def dedupe_by_id(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select match_no, id from matches where {v.bare('id')} in (select {v.bare('id')} from eyeball)")
 def id_matched_scan(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "eyeball", "id").select(bare_id("id").alias("id")).distinct()
-    return table(spark, d, "matches", "match_no", "id").withColumn("_b", bare_id("id")).join(targets.withColumnRenamed("id", "_b"), "_b", "left_semi").drop("_b")
+    rows = table(spark, d, "matches", "match_no", "id").withColumns({"raw": F.col("id"), "id": bare_id("id")})
+    return readers.scan(rows, ["match_no", "raw"], targets=targets).withColumnRenamed("raw", "id")
 
 
 @query("with c as (select regexp_replace(doc_id, '^<urn:uuid:(.*)>$', '\\1') as c, doc_id from document_scores), f as (select doc_id as f from c union select c from c union select '<urn:uuid:' || c || '>' from c) select match_no, id from matches where id in (select f from f)")
@@ -387,6 +395,14 @@ def extreme_pools(spark: SparkSession, d: str) -> DataFrame:
     return sampling.extreme_pool(v.annotations(spark, d)).filter("pool is not null").select("id", "pool")
 
 
+@query(f"with {v.SQL_ANN}, {_POOLS}, {v.SQL_LABELS} select id, pool, round(gold_score, 6) as gold_score from pools join ann using (id) join lab on lab.doc_id = id where pool = 'top' and {v.sampler('educational_value')} = 4 and {v.sampler('content_quality')} = 4 or pool = 'bottom' and {v.sampler('educational_value')} <= 1 and {v.sampler('content_quality')} <= 1")
+def strict_training(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the pools that are extreme on both axes, with the judged score as label."""
+    judged = v.labels(spark, d).select(F.col("doc_id").alias("id"), F.col("gold_score").alias("llm_content_quality"))
+    rows = sampling.extreme_pool(v.annotations(spark, d)).filter("pool is not null").join(judged, "id")
+    return rounded(sampling.strict_training(rows).select("id", "pool", "gold_score"))
+
+
 @query(f"with {v.SQL_ANN}, {_POOLS} select id, pool from (select *, row_number() over (partition by pool order by sha256('42:' || id), id) as rn from pools where pool is not null) where rn <= 20")
 def pool_samples(spark: SparkSession, d: str) -> DataFrame:
     return sampling.pool_sample(sampling.extreme_pool(v.annotations(spark, d)), "pool", 20).select("id", "pool")
@@ -568,6 +584,20 @@ def calibration_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(preference.calibration(table(spark, d, "responses"), table(spark, d, "pairs")))
 
 
+@query("select response_id, ceil((queue_position + 1) / 15.0::double)::int as session, ceil((queue_position + 1) / 15.0::double)::int = session_num as as_stored from responses where queue_position is not null")
+def session_numbers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "responses", "response_id", "queue_position", "session_num").filter("queue_position is not null")
+    return rows.select("response_id", sampling.session("queue_position").alias("session"), (sampling.session("queue_position") == F.col("session_num")).alias("as_stored"))
+
+
+@query("select response_id, round(epoch(submitted_at::timestamp) - epoch(first_at), 3) as seconds from (select response_id, submitted_at, min(submitted_at::timestamp) over (partition by lower(trim(rater_name))) as first_at from responses where submitted_at is not null and rater_name is not null)")
+def elapsed_times(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds from a rater's first answer to each answer."""
+    rows = table(spark, d, "responses", "response_id", "rater_name", "submitted_at").filter("submitted_at is not null and rater_name is not null").withColumn("r", F.lower(F.trim("rater_name")))
+    first = rows.groupBy("r").agg(F.min(clock.parsed_time("submitted_at")).alias("first_at"))
+    return rows.join(first, "r").select("response_id", F.round(clock.elapsed_seconds("first_at", "submitted_at"), 3).alias("seconds"))
+
+
 _BOARD = ", ".join(f"count_if(not skipped and {a}_choice = '{c}') as {a}_{c}" for a in ("readability", "substance") for c in preference.CHOICES)
 
 
