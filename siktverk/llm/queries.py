@@ -203,6 +203,17 @@ select t.content_quality, t.educational_value, cast(t.target_pct as bigint) as t
   coalesce(got.n, 0) >= greatest(t.min_rows, (t.target_pct * s + 99) // 100) as met
 from sample_targets t cross join size left join got using (content_quality, educational_value)
 """
+# The ranking of unrelated scores, whose loadings are equal, as Bartlett's test finds them in the project's data.
+_AVERAGE = "case when {0} is not null then (rank() over (order by {0} nulls last) + (count(*) over (partition by {0}) - 1) / 2.0::double) / (count({0}) over () + 1)::double - 0.5::double end"
+_FUSED = f"""
+with d as (select {_BARE.format("doc_id")} as doc_id, max(feature_means.length) as a, max(feature_means.content_quality) as b, max(least(feature_means.language_confidence, 1.0::double)) as c from l1_pairwise where doc_id is not null group by 1),
+u as (select doc_id, {_AVERAGE.format("a")} as a, {_AVERAGE.format("b")} as b, {_AVERAGE.format("c")} as c from d),
+s as (select doc_id, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / sqrt(3.0::double), 12) as projection, (a is null)::int + (b is null)::int + (c is null)::int as missing from u),
+r as (select doc_id, projection, missing, row_number() over (order by projection desc, doc_id) as position from s)
+"""
+SQL["p1_ranking"] = f"{_FUSED} select * from r"
+SQL["p1_found"] = f"{_FUSED} select probe_id from rank_probes p join r x on x.doc_id = p.doc_1_id join r y on y.doc_id = p.doc_2_id where p.ranking = 'l1_pairwise' and x.position < y.position"
+
 SQL["p3_report"] = _REPORT
 SQL["p3_found"] = f"select content_quality, educational_value from ({_REPORT}) where not met"
 
