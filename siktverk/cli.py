@@ -1,13 +1,15 @@
-"""Command line: ``python -m siktverk.cli run|preview|new-config|train-l1|train-l2|evaluate|sample|judge``."""
+"""Command line: ``python -m siktverk.cli run|preview|new-config|train-l1|train-l2|evaluate|sample|judge|gold``."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from dataclasses import MISSING, fields
 
 from siktverk.operators import judging, sampling
 from siktverk.plans import pipeline
-from siktverk.plans.config import Pipeline, Priority, Ranking, load_config, save_config
+from siktverk.plans.config import PROVIDERS, Gold, Pipeline, Priority, Ranking, load_config, save_config
 from siktverk.plans.session import local_session
 from siktverk.sources import readers, sinks
 
@@ -32,6 +34,13 @@ def parser() -> argparse.ArgumentParser:
     command("evaluate", ("--labels", needed), ("--markdown", {}), ("--json", {}), ("--external", {"action": "store_true"}))
     command("sample", ("--input", needed), ("--output", needed), ("--size", {"type": int, "default": 2000}), ("--mode", {"choices": ("uniform", "proportional"), "default": "uniform"}), ("--seed", {"type": int, "default": 42}), config=False)
     command("judge", ("--texts", needed), ("--prompt", needed), ("--output", needed), ("--done", {}), ("--budget", {"type": float}), ("--estimate-only", {"action": "store_true"}), config=False)
+    options: list[tuple[str, dict]] = [("--scorer", {"help": "module:function that answers a prompt; the offline one without it"})]
+    for f in fields(Gold):
+        flag, kind = f"--{f.name.replace('_', '-')}", str(f.type).split(" ")[0]
+        choices = {"mode": ("uniform", "proportional"), "provider": tuple(PROVIDERS)}.get(f.name)
+        kw: dict = {"action": "store_true"} if kind == "bool" else {"type": {"int": int, "float": float}.get(kind, str), "choices": choices} | (needed if f.default is MISSING else {"default": f.default})
+        options.append((flag, kw))
+    command("gold", *options, config=False)
     return p
 
 
@@ -50,6 +59,13 @@ def main(argv: list[str] | None = None) -> int:
         drawn = sampling.stratified_sample(pool, strata, a.size, a.mode, a.seed)
         sinks.manifest(drawn, ["id", *strata, "stratum_weight"]).write.mode("overwrite").parquet(a.output)
         return 0
+    if a.command == "gold":
+        scorer = judging.stub
+        if a.scorer:
+            module, _, name = a.scorer.partition(":")
+            scorer = getattr(importlib.import_module(module), name)
+        print(pipeline.gold(spark, Gold(**{f.name: getattr(a, f.name) for f in fields(Gold)}), scorer))
+        return 0
     if a.command == "judge":
         texts = readers.read_local(spark, a.texts)
         with open(a.prompt, encoding="utf-8") as f:

@@ -120,6 +120,33 @@ class Judge:
         return Judge(provider, model, max_tokens, temperature, url if base_url is None else base_url, api_key_env or key, compatible)
 
 
+@dataclass
+class Gold:
+    """A run of the judged sample; ``max_chars`` below 0 sends whole texts."""
+
+    annotations: str
+    output: str
+    prompt: str
+    corpus: str | None = None
+    size: int = 2000
+    seed: int = 42
+    language: str = "swe_Latn"
+    mode: str = "uniform"
+    pool_size: int = 100_000
+    provider: str = "openai"
+    model: str = ""
+    batch_size: int = 5
+    checkpoint_every: int = 1000
+    max_chars: int = 3000
+    max_scan: int | None = None
+    max_budget: float | None = None
+    price_in: float = 0.27
+    price_out: float = 0.54
+    estimate_only: bool = False
+    skip_text_fetch: bool = False
+    skip_scoring: bool = False
+
+
 def load_config(path: str | Path) -> Pipeline:
     raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     parts = {"hard_filter": HardFilter, "priority": Priority, "ranking": Ranking, "training": Training}

@@ -5,14 +5,15 @@ from __future__ import annotations
 import base64
 import pickle
 from dataclasses import asdict
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siktverk.functions.ids import bare_id, canonical_id, hash_key, hash_split
-from siktverk.operators import features, joins, metrics, ranking, sampling, training
-from siktverk.plans.config import Pipeline
+from siktverk.operators import features, joins, judging, metrics, ranking, sampling, training
+from siktverk.plans.config import Gold, Pipeline
 from siktverk.sources import readers, sinks
 from siktverk.sources.durable import durable
 
@@ -64,6 +65,45 @@ def run(spark: SparkSession, config: Pipeline, annotations: DataFrame | None = N
     return out
 
 
+def gold(spark: SparkSession, config: Gold, scorer: judging.Scorer = judging.stub) -> dict[str, Any]:
+    """A judged sample: strata, sample, texts, cost, scores, and the three output tables, all under ``config.output``.
+
+    Each step starts from what the one before has written, so a repeated run asks for no text and no score twice. Returns the
+    estimate, and the summary of the scores unless the run ended before them: with ``estimate_only``, or over the budget.
+    """
+    at = lambda name: f"{config.output}/{name}"
+    strata = ["edu_ord", "quality_ord"]
+    if config.skip_scoring:
+        return {"summary": judging.summary(spark.read.parquet(at("scores"))).first().asDict()}
+    sinks.write_json(asdict(config), at("config.json"))
+    pool = sampling.with_strata(readers.pool_scan(readers.read_local(spark, config.annotations), config.pool_size))
+    drawn = sampling.stratified_sample(pool, strata, config.size, config.mode, config.seed).withColumn("language", F.lit(config.language))
+    manifest = sinks.manifest(drawn.withColumnRenamed("id", "doc_id"), ["doc_id", *strata, "stratum_weight", "language"])
+    sinks.write_once(manifest, at("sample"))
+    manifest = spark.read.parquet(at("sample"))
+    sinks.write_csv(sampling.stratum_stats(pool, strata, config.size, config.mode), at("strata"))
+    corpus = None if config.skip_text_fetch or config.corpus is None else readers.read_local(spark, config.corpus)
+    if corpus is not None and config.max_scan is not None:
+        corpus = corpus.limit(config.max_scan)
+    ids = manifest.select(bare_id("doc_id").alias("id"))
+    texts = readers.fetch_texts(corpus, ids, path=at("texts")).filter("trim(text) <> ''").withColumnRenamed("id", "doc_id")
+    if texts.isEmpty():
+        raise ValueError("no texts for the sample")
+    template = Path(config.prompt).read_text(encoding="utf-8")
+    most = 2**31 - 1 if config.max_chars < 0 else config.max_chars
+    out: dict[str, Any] = {"estimate": judging.cost(texts, len(template), config.price_in, config.price_out, most).first().asDict()}
+    if config.estimate_only or config.max_budget is not None and out["estimate"]["usd"] > config.max_budget:
+        return out
+    scores = judging.judge_to(texts, template, at("scores"), scorer, config.checkpoint_every, max_chars=most, parallel=config.batch_size)
+    failed = scores.filter("quality_score is null").select("doc_id", F.lit("failed or malformed after retries").alias("reason"))
+    sinks.append_failures(failed, at("failures"), run=config.output)
+    keyed = manifest.withColumn("doc_id", bare_id("doc_id"))
+    for name, df in sinks.score_outputs(scores, keyed, ["id", "quality_score", *[c for c in keyed.columns if c not in ("doc_id", *strata, "stratum_weight", "language")]]).items():
+        df.write.mode("overwrite").parquet(at(name))
+        sinks.write_csv(df, at(f"{name}_csv"))
+    return out | {"summary": judging.summary(scores).first().asDict()}
+
+
 def labelled(prepared: DataFrame, labels: DataFrame) -> DataFrame:
     return durable(joins.attach_labels(prepared, joins.load_labels(labels)))
 
@@ -118,8 +158,6 @@ def evaluation_report(result: DataFrame, dataset: dict[str, Any], weights: dict[
     rows = [r.asDict() for r in result.orderBy("method").collect()]
     text = sinks.metrics_markdown(rows, dataset, weights)
     if markdown:
-        from pathlib import Path
-
         Path(markdown).write_text(text, encoding="utf-8")
     if as_json:
         sinks.write_json({"dataset": dataset, "methods": rows, "weights": weights}, as_json)

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__
 from siktverk import cli
 from siktverk.plans import pipeline, views
-from siktverk.plans.config import HardFilter, Pipeline, Ranking
+from siktverk.plans.config import Gold, HardFilter, Pipeline, Ranking
 from siktverk.sources import sinks
 from siktverk.sources.tables import table
 
@@ -40,3 +40,24 @@ def test_entry(spark, small):
     assert __spark_entry__.entry(spark).count() > 0
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 60
+
+
+def test_gold(spark, tmp_path):
+    labels = ["none", "minimal", "basic", "moderate", "high"]
+    rows = [(f"<urn:uuid:D{i}>", labels[i % 5], ["poor", "good"][i % 2], "report") for i in range(60)]
+    spark.createDataFrame(rows, "id string, educational_value string, content_quality string, content_type string").write.parquet(f"{tmp_path}/a.parquet")
+    spark.createDataFrame([(f"d{i}", f"text {i}" if i % 7 else " ") for i in range(60)], "id string, text string").write.parquet(f"{tmp_path}/t.parquet")
+    (tmp_path / "prompt.txt").write_text("Rate {id}: {text}")
+    args = ["gold", "--annotations", f"{tmp_path}/a.parquet", "--corpus", f"{tmp_path}/t.parquet", "--output", f"{tmp_path}/out", "--prompt", f"{tmp_path}/prompt.txt", "--size", "20"]
+    parsed = vars(cli.parser().parse_args([*args, "--max-budget", "0.5"]))
+    config = Gold(**{k: v for k, v in parsed.items() if k not in ("command", "scorer")})
+    assert config.size == 20 and config.max_budget == 0.5 and not config.skip_scoring
+    out = pipeline.gold(spark, config)
+    held = spark.read.parquet(f"{tmp_path}/out/deliverable").collect()
+    assert out["summary"]["n"] == len(held) == out["estimate"]["documents"] and out["summary"]["failed"] == 0
+    assert spark.read.parquet(f"{tmp_path}/out/sample").count() == 20 and spark.read.parquet(f"{tmp_path}/out/combined").count() == 20
+    assert pipeline.gold(spark, config)["summary"]["n"] == len(held)  # nothing is asked for twice
+    config.max_budget = 0.0
+    assert "summary" not in pipeline.gold(spark, config)
+    config.skip_scoring = True
+    assert pipeline.gold(spark, config)["summary"]["n"] == len(held)
