@@ -28,7 +28,7 @@ from siktverk.functions.ids import bare_id
 from siktverk.sources.durable import Steps
 from siktverk.sources.tables import spread
 
-_WORD, _TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
+_WORD, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
 #: A word, and the blank after it if it leads on to another word or a number.
 _LEADING = re.compile(r"([^\W\d_]+)(?:( )(?=[^\W_]))?")
 _ENDS = re.compile("[.!?…][\"'”’»)\\]]*$")
@@ -72,6 +72,8 @@ class Languages:
     familiar: np.ndarray
     common: list[np.ndarray] = field(default_factory=list)
     usual: list[float] = field(default_factory=list)
+    #: Places of words that were looked up; memory only.
+    known: dict[str, int] = field(default_factory=dict, repr=False)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Places among the frequent words, -1 for others."""
@@ -101,14 +103,18 @@ class Languages:
 
         Damaged prose has fewer common words than other prose: with NEAR of what is usual, its form decides.
         """
-        hashes, counts, owner, sizes = [], [], [], []
+        words, counts, owner, sizes = [], [], [], []
         for k, text in enumerate(texts):
             found = Counter(_WORD.findall(text.lower()))
-            hashes += [word_hash(w) for w in found]
+            words += found
             counts += found.values()
             owner += [k] * len(found)
-            sizes.append(sum(found.values()))
-        places = self.places(np.array(hashes, dtype=np.int64))
+            sizes.append(found.total())
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        self.known.update(zip(new, self.places(np.array([word_hash(w) for w in new], dtype=np.int64)).tolist()))
+        places = np.array([self.known[w] for w in words], dtype=np.int64)
         at, size = np.array(owner, dtype=np.int64), np.array(sizes, dtype=np.int64)
         n = np.array(counts, dtype=np.int64)
         language, _, fit = self.assign(places, n, at, size, NEAR)
@@ -127,16 +133,16 @@ def shaped(text: str, m: tuple[int, int, float, float, float, float, float]) ->
     return bool(sentences) and SENTENCE_WORDS[0] <= m[1] / sentences <= SENTENCE_WORDS[1] and m[6] >= LINE_WORDS and m[2] >= LETTERS and m[3] + m[4] <= MARKS
 
 
-def measure(text: str, found: list[str] | None = None) -> tuple[int, int, float, float, float, float, float]:
-    """``char_count, word_count, mean_word_length, symbol_ratio, digit_ratio, line_end_ratio, words_per_line`` of one text."""
-    found = _WORD.findall(text.lower()) if found is None else found
-    n = max(1, len(found))
+def measure(text: str, words: int | None = None, letters: int = 0) -> tuple[int, int, float, float, float, float, float]:
+    """``char_count, word_count, mean_word_length, symbol_ratio, digit_ratio, line_end_ratio, words_per_line`` of one text, whose words and letters may be counted already."""
+    if words is None:
+        found = _WORD.findall(text)
+        words, letters = len(found), sum(map(len, found))
     lines = [s for line in text.split("\n") if (s := line.strip())]
-    solid = sum(map(len, _TOKEN.findall(text))) or 1
-    letters = sum(map(len, found))
-    digits = sum(c.isdigit() for c in text)
+    solid = sum(map(len, text.split())) or 1
+    digits = len(_DIGIT.findall(text))
     ended = sum(1 for line in lines if _ENDS.search(line)) / max(1, len(lines))
-    return len(text), len(found), letters / n, (solid - letters - digits) / solid, digits / solid, ended, len(found) / max(1, len(lines))
+    return len(text), words, letters / max(1, words), (solid - letters - digits) / solid, digits / solid, ended, words / max(1, len(lines))
 
 
 _BASE = ("char_count bigint", "word_count bigint", "mean_word_length double", "symbol_ratio double", "digit_ratio double", "line_end_ratio double", "words_per_line double")
@@ -161,10 +167,20 @@ def measured(df: DataFrame, id_column: str = "id", text_column: str = "text") ->
                 if text is None:
                     rows.append((None,) * 9)
                 else:
-                    pairs = [(w.lower(), w[0].islower(), s) for w, s in _LEADING.findall(text)]
-                    m = measure(text, [w for w, _, _ in pairs])
+                    all_: dict[str, int] = {}
+                    low: dict[str, int] = {}
+                    on: dict[str, int] = {}
+                    letters = 0
+                    for (w, blank), n in Counter(_LEADING.findall(text)).items():
+                        letters += len(w) * n
+                        lower = w.lower()
+                        all_[lower] = all_.get(lower, 0) + n
+                        if w[0].islower():
+                            low[lower] = low.get(lower, 0) + n
+                            if blank:
+                                on[lower] = on.get(lower, 0) + n
+                    m = measure(text, sum(all_.values()), letters)
                     rows.append((*m, shaped(text, m), xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))))
-                    all_ = Counter(w for w, _, _ in pairs)
                     for w, n in all_.items():
                         h = known.get(w)
                         if h is None:
@@ -173,9 +189,8 @@ def measured(df: DataFrame, id_column: str = "id", text_column: str = "text") ->
                             h = known[w] = word_hash(w)
                         hashes.append(h)
                         counts.append(n)
-                    low, on = Counter(w for w, l, _ in pairs if l), Counter(w for w, l, s in pairs if l and s)
-                    small += [low[w] for w in all_]
-                    leads += [on[w] for w in all_]
+                    small += [low.get(w, 0) for w in all_]
+                    leads += [on.get(w, 0) for w in all_]
                 ends.append(len(hashes))
             columns = list(zip(*rows)) if rows else [[]] * 9
             kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.bool_(), pa.binary()]
