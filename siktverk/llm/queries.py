@@ -139,6 +139,10 @@ def _answers(spark: SparkSession, directory: str) -> DataFrame:
     return consensus.answers(table(spark, directory, "responses", "response_id", "rater_name", "pair_id", "is_duplicate", "side_assignment", "readability_choice", "skipped"))
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 @query
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return consensus.unreliable(consensus.Model(_answers(spark, directory)))
@@ -146,12 +150,12 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def p7_consensus(spark: SparkSession, directory: str) -> DataFrame:
-    return consensus.Model(_answers(spark, directory)).consensus()
+    return _rounded(consensus.Model(_answers(spark, directory)).consensus(), "probability", "agreement")
 
 
 @query
 def p7_reliability(spark: SparkSession, directory: str) -> DataFrame:
-    return consensus.Model(_answers(spark, directory)).reliability()
+    return _rounded(consensus.Model(_answers(spark, directory)).reliability(), "sensitivity", "specificity", "informedness")
 
 
 @query
@@ -214,6 +218,29 @@ r as (select doc_id, projection, missing, row_number() over (order by projection
 SQL["p1_ranking"] = f"{_FUSED} select * from r"
 SQL["p1_found"] = f"{_FUSED} select probe_id from rank_probes p join r x on x.doc_id = p.doc_1_id join r y on y.doc_id = p.doc_2_id where p.ranking = 'l1_pairwise' and x.position < y.position"
 
+
+
+def _quotas(rounds: int = 6) -> str:
+    """Feasible quotas of the targets; each round shares what the one before left over."""
+    out = [f"rep as ({_REPORT})", "t as (select *, row_number() over (order by content_quality, educational_value) as i, (select s from size) * (sum(target_pct) over ()) // 100 as wanted from rep)"]
+    previous, given = "(select *, 0::bigint as given, target_pct as w, wanted as left_ from t)", "least(available, greatest(min_rows, m))"
+    for k in range(rounds):
+        share = "case when sum(w) over () > 0 and left_ > 0 then (left_ * w) // (sum(w) over ()) else 0 end"
+        rest = "case when sum(w) over () > 0 and left_ > 0 then (left_ * w) % (sum(w) over ()) else 0 end"
+        out.append(f"a{k} as (select *, {share} as base, {rest} as frac, sum(w) over () as sw from {previous})")
+        out.append(f"b{k} as (select * exclude (base, frac), base + (sw > 0 and left_ > 0 and row_number() over (order by frac desc, i) <= left_ - sum(base) over ())::int as m from a{k})")
+        out.append(f"c{k} as (select * exclude (given, w, left_, m, sw), {given} as given from b{k})")
+        previous, given = f"(select *, case when available > given then target_pct else 0 end as w, wanted - sum(given) over () as left_ from c{k})", "given + least(available - given, m)"
+    return ", ".join(out) + f", quo as (select content_quality, educational_value, given from c{rounds - 1})"
+
+
+SQL["p3_sample"] = f"""
+with docs as (select distinct {_BARE.format("id")} as id, {_LABEL.format("content_quality")} as content_quality, {_LABEL.format("educational_value")} as educational_value from eyeball where id is not null),
+size as (select count(distinct id) // 5 as s from docs), {_quotas()},
+rk as (select *, row_number() over (partition by content_quality, educational_value order by sha256('7:' || id), id) as k from docs where content_quality is not null and educational_value is not null)
+select id, content_quality, educational_value from rk join quo using (content_quality, educational_value) where k <= given
+"""
+
 SQL["p3_report"] = _REPORT
 SQL["p3_found"] = f"select content_quality, educational_value from ({_REPORT}) where not met"
 
@@ -227,6 +254,35 @@ select least(x, y) as i, greatest(x, y) as j, cast(sum(case when x < y then a el
 from votes join known using (pair_id) where x <> y group by 1, 2
 """
 
+_TRIM = "lower(trim({0}, ' \t\n\r'))"
+
+
+def _expectation() -> str:
+    """The rounds of expectation-maximisation, one common table each; ``g`` are the answers, ``m`` the last matrices, ``q`` the last posteriors."""
+    n, d = consensus.DIAGONAL * consensus.SMOOTHING, (1 + consensus.DIAGONAL) * consensus.SMOOTHING
+    said = f"case when (side_assignment = 'a_left') = starts_with({_TRIM.format('readability_choice')}, 'a_') then 1 else 0 end"
+    out = [
+        f"o as (select pair_id, {_TRIM.format('rater_name')} as rater_name, response_id, max({said} * 2 + (coalesce(is_duplicate, 0) = 0)::int) as code from (select * replace (trim(side_assignment) as side_assignment) from responses)"
+        f" where coalesce(skipped, 0) = 0 and {_TRIM.format('readability_choice')} in ('a_much', 'a_slight', 'b_slight', 'b_much') and side_assignment in ('a_left', 'a_right') and pair_id is not null and rater_name is not null and response_id is not null group by all)",
+        "g as (select pair_id, rater_name, count_if(code >= 2)::double as a, count_if(code < 2)::double as b, sum(code % 2)::bigint as f from o group by all)",
+        "q0 as (select pair_id, sum(a) / sum(a + b) as q from g group by 1)",
+    ]
+    for k in range(consensus.ROUNDS):
+        rate = lambda x, y: f"({x} + {n}::double) / ({x} + {y} + {d}::double)"
+        out.append(f"s{k} as materialized (select rater_name, sum(q * a) as aa, sum(q * b) as ab, sum((1 - q) * b) as bb, sum((1 - q) * a) as ba from g join q{k} using (pair_id) group by 1)")
+        out.append(f"m{k} as materialized (select rater_name, {rate('aa', 'ab')} as sens, {rate('bb', 'ba')} as spec from s{k})")
+        out.append(f"q{k + 1} as materialized (select pair_id, 1 / (1 + exp(-greatest(least(sum(a * ln(sens / (1 - spec)) + b * ln((1 - sens) / spec)), 40), -40))) as q from g join m{k} using (rater_name) group by 1)")
+    return "with " + ", ".join(out)
+
+
+_RATERS = f"select rater_name, (a + b)::bigint as answers, f as first_showings, round(sens, 6) as sensitivity, round(spec, 6) as specificity, round(sens + spec - 1, 6) as informedness from (select rater_name, sum(a) as a, sum(b) as b, sum(f)::bigint as f from g group by 1) join m{consensus.ROUNDS - 1} using (rater_name)"
+SQL["p7_reliability"] = f"{_expectation()} {_RATERS}"
+SQL["p7_found"] = f"{_expectation()} select rater_name from ({_RATERS}) where informedness < {consensus.LEAST_INFORMED!r}::double and first_showings >= {consensus.LEAST_ANSWERS}"
+SQL["p7_consensus"] = (
+    f"{_expectation()} select pair_id, case when q >= 0.5 then 'a' else 'b' end as label, round(greatest(q, 1 - q), 6) as probability, (a + b)::bigint as answers, round((case when q >= 0.5 then a else b end) / (a + b), 6) as agreement"
+    f" from (select pair_id, sum(a) as a, sum(b) as b from g group by 1) join q{consensus.ROUNDS} using (pair_id)"
+)
+
 SQL["p7_agreement"] = """
 with once as (
   select pair_id, response_id, max(case when (lower(trim(readability_choice)) like 'a\\_%' escape '\\') = (trim(side_assignment) = 'a_left') then 1 else 0 end) as a

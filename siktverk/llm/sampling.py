@@ -2,7 +2,7 @@
 
 Method: a document's priority is a seeded hash of its id, and a category's reservoir holds its smallest priorities. Such
 reservoirs merge: that of a union is the smallest of both. One pass over the documents fills them; they lie in a table by
-category and leading priority bits, so that no task holds a whole reservoir, beside counts of the same cells, which add up.
+category and leading digits of the priority, so that no task holds a whole reservoir, beside counts of the same cells, which add up.
 When the final counts are known, every reservoir is trimmed to its feasible quota by a priority bound, so that each document
 of a category has the same chance. Report and sample come from the same reservoirs.
 """
@@ -14,11 +14,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siktverk.functions.ids import bare_id
+from siktverk.functions.ids import bare_id, seeded_order
 from siktverk.sources.durable import Steps
 
-#: Leading bits of the priority by which a reservoir is laid out; only documents of one cell a category are ever sorted.
-BITS = 12
+#: Leading hexadecimal digits of the priority by which a reservoir is laid out; only documents of one cell a category are ever sorted.
+DIGITS = 3
 
 
 def _label(name: str) -> Column:
@@ -67,15 +67,14 @@ class Sample:
 
     def __init__(self, df: DataFrame, targets: DataFrame, labels: list[str], share: float = 0.2, seed: int = 7) -> None:
         self.labels, self.seed = labels, seed
-        priority = F.xxhash64(F.lit(seed), "id")
-        rows = labelled(df, labels).withColumn("priority", priority).withColumn("cell", F.shiftrightunsigned("priority", 64 - BITS))
+        rows = labelled(df, labels).withColumn("priority", seeded_order("id", seed)).withColumn("cell", F.substring("priority", 1, DIGITS))
         self.reservoirs = Steps(df.sparkSession).next(rows)
         wanted = targets.groupBy(*[_label(c).alias(c) for c in labels]).agg(F.sum(F.coalesce("target_pct", F.lit(0))).alias("target_pct"), F.max(F.coalesce("min_rows", F.lit(0))).alias("min_rows"))
         self.wanted = wanted.na.drop(subset=labels)
         self.share = share
 
     def summaries(self) -> DataFrame:
-        """Documents by category and leading bits of the priority: what tells how far a reservoir reaches."""
+        """Documents by category and leading digits of the priority: what tells how far a reservoir reaches."""
         return self.reservoirs.na.drop(subset=self.labels).groupBy(*self.labels, "cell").agg(F.count("*").alias("n"))
 
     def report(self) -> DataFrame:

@@ -64,12 +64,19 @@ def test_sample(spark):
     assert empty.draw().count() == 0 and {x["available"] for x in empty.report().collect()} == {0}
 
 
+def test_what_is_left_over_is_passed_on():
+    assert sampling.feasible([(60, 5, 300), (40, 2, 20)], 66) == [46, 20]
+    assert sampling.feasible([(50, 0, 10), (30, 0, 10), (20, 0, 500)], 100) == [10, 10, 80]
+    assert sampling.feasible([(50, 0, 3), (50, 0, 4)], 100) == [3, 4] and sampling.feasible([], 10) == []
+    assert sampling.feasible([(100, 0, 50), (0, 3, 9)], 20) == [20, 3]
+
+
 def test_sample_is_the_smallest_priorities_and_mergeable(spark):
     df = spark.range(5000).select(F.concat(F.lit("d"), "id").alias("id"), F.lit("c").alias("q"))
     targets = spark.createDataFrame([("c", 50, 1)], "q string, target_pct int, min_rows int")
     s = sampling.Sample(df, targets, ["q"])
     got = {r["id"] for r in s.draw().collect()}
-    ranked = [r["id"] for r in df.withColumn("p", F.xxhash64(F.lit(s.seed), "id")).withColumn("b", F.shiftrightunsigned("p", 64 - sampling.BITS)).orderBy("b", "p", "id").limit(500).collect()]
+    ranked = [r["id"] for r in df.withColumn("p", F.sha2(F.concat(F.lit(f"{s.seed}:"), "id"), 256)).orderBy("p").limit(500).collect()]
     assert got == set(ranked)
 
 
