@@ -79,9 +79,13 @@ def normalize(df: DataFrame, stats: Stats, columns: tuple[str, ...] | list[str]
     return df.withColumns({f"{c}_z": scaled(F.col(c), stats[c]) for c in columns})
 
 
+def dedup_logs() -> dict[str, Column]:
+    return {"log_cluster": F.log1p("minhash_cluster_size"), "log_duplicates": F.log1p("duplicate_count")}
+
+
 def add_dedup_features(df: DataFrame, stats: Stats | None = None) -> DataFrame:
     """``inverted_cluster_size`` and ``inverted_duplicate_count``: 1 - scaled log counts, statistics over all rows."""
-    logs = {"log_cluster": F.log1p("minhash_cluster_size"), "log_duplicates": F.log1p("duplicate_count")}
+    logs = dedup_logs()
     df = df.withColumns(logs)
     stats = stats or nearest_rank_stats(df, list(logs))
     return df.withColumns({"inverted_cluster_size": 1 - scaled(F.col("log_cluster"), stats["log_cluster"]), "inverted_duplicate_count": 1 - scaled(F.col("log_duplicates"), stats["log_duplicates"])}).drop(*logs)

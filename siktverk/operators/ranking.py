@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siktverk.operators.features import FEATURES, add_dedup_features, add_interactions, hard_filter, nearest_rank_stats, normalize, to_features
+from siktverk.operators.features import FEATURES, add_dedup_features, add_interactions, dedup_logs, hard_filter, nearest_rank_stats, normalize, to_features
 from siktverk.operators.ordering import numbered
 from siktverk.sources.durable import durable
 
@@ -43,9 +43,11 @@ PROTOTYPE = Linear(L1_WEIGHTS)
 def prepare(df: DataFrame, expected_lid: str | None = "swe_Latn", minimum: dict[str, float] | None = None, require_pii_absence: bool | None = None, unit: dict[str, float] | None = None) -> DataFrame:
     """Features, filter flag, scaled features (statistics of the survivors), interactions and deduplication features (of all rows)."""
     flagged = durable(hard_filter(to_features(df), expected_lid, minimum, require_pii_absence))
-    stats = nearest_rank_stats(flagged.filter("passed_hard_filter"), list(FEATURES))
+    logs = dedup_logs()
+    values = flagged.select(*[F.when(F.col("passed_hard_filter"), F.col(f)).alias(f) for f in FEATURES], *[c.alias(k) for k, c in logs.items()])
+    stats = nearest_rank_stats(values, [*FEATURES, *logs])  # both kinds of statistics at once
     unit = unit or {f: 1 / len(FEATURES) for f in FEATURES}
-    return add_dedup_features(add_interactions(normalize(flagged, stats), unit))
+    return add_dedup_features(add_interactions(normalize(flagged, stats), unit), stats)
 
 
 def rank_l1(df: DataFrame, model: Linear = PROTOTYPE, unit: dict[str, float] | None = None, mu: float | None = None) -> DataFrame:

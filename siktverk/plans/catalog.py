@@ -628,9 +628,23 @@ def win_loss(spark: SparkSession, d: str) -> DataFrame:
     return preference.win_loss(_won(spark, d))
 
 
-@query()
+# Plain updates, without extrapolation, until they have long converged.
+_BT = (
+    _WON.replace("with ", "with recursive ", 1)
+    + """, wl as materialized (select doc_id, sum(w)::bigint as wins, sum(1 - w)::bigint as losses, count(*) as n_comparisons from (select winner as doc_id, 1 as w from won union all select loser, 0 from won) group by 1),
+ed as materialized (select d, o, sum(n)::double as n from (select winner as d, loser as o, count(*) as n from won where winner <> loser group by all union all select loser, winner, count(*) from won where winner <> loser group by all) group by all),
+bt as (select 0 as it, doc_id, 1.0::double as s, 1.0::double as g, count(*) over () as docs from wl
+  union all select it + 1, doc_id, new, docs * 0.5 / sum(ghost) over (), docs from (
+    select b.it, b.doc_id, b.docs, (w.wins + 0.5) / (coalesce(l.load, 0) + 1 / (b.s + b.g)) as new, 1 / (b.s + b.g) as ghost
+    from bt b join wl w using (doc_id) left join (select e.d, sum(e.n / (x.s + y.s)) as load from ed e join bt x on x.doc_id = e.d join bt y on y.doc_id = e.o group by 1) l on l.d = b.doc_id where b.it < 5000)),
+lg as (select doc_id, ln(s) as x from bt where it = 5000), ends as (select avg(x) as m, min(x) as lo, max(x) as hi from lg)
+select lg.doc_id, round(x - m, 4) as log_odds, round((x - lo) / (hi - lo), 4) as score01, wins, losses, n_comparisons from lg join wl using (doc_id), ends"""
+)
+
+
+@query(_BT)
 def bt_scores(spark: SparkSession, d: str) -> DataFrame:
-    return preference.bradley_terry(_won(spark, d))
+    return preference.bradley_terry(_won(spark, d)).withColumn("score01", F.round("score01", 4))
 
 
 # The judge.
