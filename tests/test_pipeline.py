@@ -61,3 +61,33 @@ def test_gold(spark, tmp_path):
     assert "summary" not in pipeline.gold(spark, config)
     config.skip_scoring = True
     assert pipeline.gold(spark, config)["summary"]["n"] == len(held)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as Of
+
+    from siktverk.sources.durable import Steps, checkpoint_dir
+
+    none = Of(isDefined=lambda: False)
+    fake = Of(sparkContext=Of(_jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: none)), master="spark://host:7077"), conf=Of(get=lambda k, d: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(fake)
+    steps = Steps(spark)
+    for k in range(3):
+        df = steps.next(spark.range(k))
+    assert df.count() == 2
+    steps.drop()
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(steps.folder).count()
+
+
+def test_positions_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from siktverk.operators.ordering import numbered, numbered_within
+
+    df = spark.range(1000, numPartitions=40).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    got = {r["id"]: r["position"] for r in numbered(df, [F.desc("id")]).collect()}
+    assert got == {k: 1000 - k for k in range(1000)}
+    inside = {r["id"]: r["p"] for r in numbered_within(df, "g", [F.asc("id")], "p").collect()}
+    assert all(inside[k] == k // 3 + 1 for k in range(1000))
