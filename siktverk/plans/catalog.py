@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siktverk.functions import clock
 from siktverk.functions.domains import FAMILIES, topic_family
-from siktverk.functions.ids import bare_id, canonical_id, hash_fraction, hash_key, hash_split, lookup_forms, wrapped_id
+from siktverk.functions.ids import bare_id, canonical_id, hash_fraction, hash_split, wrapped_id
 from siktverk.functions.judge import combined_score, parsed_score
 from siktverk.operators import features as feat
 from siktverk.operators import joins, judging, metrics, preference, ranking, sampling, training
