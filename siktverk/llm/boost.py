@@ -14,6 +14,16 @@ def matrix(rows: list[list[float]]) -> np.ndarray:
     return np.array(rows, dtype=float) if rows else np.zeros((0, 1))
 
 
+def cuts_of(values: np.ndarray) -> np.ndarray:
+    """The bounds of the quantile bins of a feature."""
+    return np.unique(np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1]))
+
+
+def bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The bins of the features of ``x``, one row a feature."""
+    return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)]).astype(np.uint8) if cuts else np.zeros((0, len(x)), dtype=np.uint8)
+
+
 @dataclass
 class Boosted:
     """Complete trees of depth 3 on quantile bins, with logistic loss."""
@@ -26,23 +36,26 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         """``y`` is 0 or 1. One class only, or no rows at all, gives a constant answer."""
+        cuts = [cuts_of(x[:, j]) for j in range(x.shape[1])] if len(y) else []
+        return self.fit_binned(bins(x, cuts), y, np.ones(len(y)), cuts)
+
+    def fit_binned(self, binned: np.ndarray, y: np.ndarray, times: np.ndarray, cuts: list[np.ndarray]) -> Boosted:
+        """As :meth:`fit`, from the bins (one row a feature) that ``cuts`` bound; each row counts ``times``."""
         n = len(y)
-        share = min(max(float(y.mean()) if n else 0.0, 1e-4), 1 - 1e-4)
+        share = min(max(float(np.average(y, weights=times)) if n else 0.0, 1e-4), 1 - 1e-4)
         self.base, self.trees = float(np.log(share / (1 - share))), []
         if n < 2 or y.min() == y.max():
             return self
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        binned = np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)])
         score = np.full(n, self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p)
+            g, h = times * (y - p), times * p * (1 - p)
             feature, threshold = np.zeros(2**DEPTH - 1, dtype=np.int64), np.full(2**DEPTH - 1, np.inf)
             at = np.zeros(n, dtype=np.int64)
             for node in range(2**DEPTH - 1):
                 rows = np.flatnonzero(at == node)
                 best = (1e-6, 0, np.inf, 0)
-                if len(rows) >= 10:
+                if times[rows].sum() >= 10:
                     gs, hs = g[rows], h[rows]
                     whole = gs.sum() ** 2 / (hs.sum() + self.ridge)
                     for j, c in enumerate(cuts):
@@ -55,7 +68,7 @@ class Boosted:
                             if gain[k] > best[0]:
                                 best = (float(gain[k]), j, float(c[k]), k)
                 feature[node], threshold[node] = best[1], best[2]
-                at[rows] = 2 * node + 1 + (x[rows, best[1]] >= best[2])
+                at[rows] = 2 * node + 1 + (binned[best[1], rows] > best[3] if best[2] < np.inf else False)
             leaf = at - (2**DEPTH - 1)
             value = self.rate * np.bincount(leaf, g, 2**DEPTH) / (np.bincount(leaf, h, 2**DEPTH) + self.ridge)
             self.trees.append((feature, threshold, value))

@@ -311,6 +311,23 @@ def test_confusions_are_learned_and_other_letters_are_open():
     assert all(scores[:-1]) and not scores[-1], dict(zip(asked, scores))
 
 
+def test_ranker_is_trained_on_all_words(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("aceghiklmnoprstuvy") for _ in range(n))
+    often = sorted({word(8) for _ in range(3000)})
+    stems = sorted({word(7) for _ in range(300)})
+    targets = [f"{word(4)}d{word(4)}" for _ in range(60)]
+    lexicon = {w: 100 for w in [*often, *targets]} | {f"{s}{c}": 6 for s in stems for c in "bd"}  # b and d change places in less frequent words only
+    read = {w.replace("d", "b"): 1 for w in targets} | {f"{w[:3]}{r.choice('xzqw')}{w[4:]}": 1 for w in often[:600]}
+    held = []
+    start = scans.Ranker.__init__
+    monkeypatch.setattr(scans.Ranker, "__init__", lambda self, *x: (start(self, *x), held.append(self))[0])
+    found = scans.corrections(spark.createDataFrame([("l1", w, n) for w, n in (read | lexicon).items()], "language string, word string, n bigint"))
+    assert ("b", "d") not in held[0].channel.weight
+    assert sum(held[0].letters.three.values()) == sum(len(w) + 1 for w in lexicon)
+    assert found.count() > 0
+
+
 def test_short_words_and_gaps():
     assert {g for g, _ in scans.grams("mcd", False)} & {g for g, _ in scans.grams("med", True)} == {"m_d"}
     assert scans.difference("trahken", "trafiken") == ("h", "fi") and scans.difference("a", "a") is None and scans.difference("abcd", "xyzw") is None
